@@ -31,9 +31,11 @@ from quorumlake.llm.common import slices
 
 #: Most examples of each kind that the classifier is fitted on.
 POSITIVES, UNLABELLED = 4_000, 12_000
-#: Hashed words, and how many of them (by lift among positives) the classifier weighs.
+#: Hashed words, and the most of them (the commonest among positives) that the classifier weighs.
 SPACE, FEATURES = 1 << 18, 2_048
-ROUNDS, RATE, DECAY = 400, 0.1, 1e-4
+ROUNDS, RATE, DECAY = 2_000, 0.2, 1e-5
+#: A word is weighed if so many positives have it, and so many times the share of them that it has of unlabelled texts.
+LEAST, LIFT = 4, 4.0
 #: Most words a worker remembers.
 CACHE = 400_000
 
@@ -118,11 +120,9 @@ class Model:
         for rows, df in ((positive, df_p), (unlabelled, df_u)):
             for at, _ in rows:
                 df[at] += 1
-        a, b = df_p / len(positive), df_u / len(unlabelled)
-        spread = np.sqrt(np.maximum(a * (1 - a), 1e-9) / len(positive) + np.maximum(b * (1 - b), 1e-9) / len(unlabelled) + 1 / len(positive) ** 2)
-        lift = np.where(df_p + df_u >= 5, np.abs(a - b) / spread, 0)
-        chosen = np.argsort(-lift, kind="stable")[:FEATURES]
-        chosen = chosen[lift[chosen] > 0]
+        lift = (df_p + 1) / (len(positive) + 2) / ((df_u + 1) / (len(unlabelled) + 2))
+        chosen = np.flatnonzero((df_p >= LEAST) & (lift > LIFT))
+        chosen = chosen[np.argsort(-df_p[chosen], kind="stable")[:FEATURES]]
         column = np.full(SPACE, -1, np.int64)
         column[chosen] = np.arange(len(chosen))
         if not len(chosen):
@@ -145,7 +145,7 @@ class Model:
                 gp, gu = -g_minus, -g_u
             grad = np.append(p.back(gp) + u.back(gu) + DECAY * w, gp.sum() + gu.sum())
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            step = RATE / np.sqrt(t) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             w, bias = w - step[:-1], bias - step[-1]
         weights = np.zeros(SPACE)
         weights[chosen] = w
