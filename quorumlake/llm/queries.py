@@ -154,3 +154,24 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quorumlake.llm.jaccard_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).drop("sid")
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quorumlake.llm.substring_dedup import substring_dedup
+
+    kept = substring_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL["op5_substring_dedup"] = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+v AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM v) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 19)) AS pos FROM r),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+kept AS (SELECT words.*, gone.pos IS NOT NULL AS out FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.pos = words.pos),
+agg AS (SELECT doc_id, count(*) FILTER (WHERE out) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT out) AS t FROM kept GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN agg ON agg.doc_id = d.doc_id"""
