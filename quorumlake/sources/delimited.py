@@ -33,7 +33,7 @@ def detect(data: bytes, delimiter: str | None = None) -> Format:
         try:
             text = data.decode(candidate)
         except UnicodeDecodeError as e:
-            if e.end < len(data) - 4:  # else the prefix cuts a character
+            if len(data) < PREFIX or e.end < len(data) - 4:  # else the prefix cuts a character
                 continue
             text = data[: e.start].decode(candidate)
         encoding = candidate
