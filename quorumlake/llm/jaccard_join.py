@@ -94,61 +94,105 @@ def set_key(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
-def choices(tokens: np.ndarray, threshold: float = THRESHOLD) -> list[list[int]]:
-    """For each run and level (in that order) the tokens chosen: hashes under 1 / (threshold * size)."""
+#: Tokens times hash functions worked on at once.
+_AT_ONCE = 1 << 20
+
+
+def choices(tokens: np.ndarray, threshold: float = THRESHOLD) -> list[bytes]:
+    """For each level the tokens that each run chooses, those whose hash is under 1 / (threshold * size).
+
+    A level is RUNS count bytes and then the chosen tokens' low 32 bits: shorter tokens can only make
+    buckets larger, never part them, and what meets is compared exactly.
+    """
     bar = np.uint64(min(2.0**64 - 2048, 2.0**64 / (threshold * max(1, len(tokens)))))
+    step = max(1, _AT_ONCE // max(1, len(tokens)))
     out = []
-    for run in range(RUNS):
-        for level in range(DEPTH):
-            h = (tokens ^ (tokens >> np.uint64(29))) * _MIX[run, level]
-            out.append(tokens[(h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) < bar].astype(np.int64).tolist())
+    for level in range(DEPTH):
+        counts, held = np.zeros(RUNS, np.uint8), []
+        for at in range(0, RUNS, step):
+            run, token = np.nonzero(tokens[None, :] * _MIX[at : at + step, level, None] < bar)
+            counts[at : at + step] = np.bincount(run, minlength=len(counts[at : at + step]))
+            held.append(tokens[token].astype(np.uint32))
+        out.append(counts.tobytes() + np.concatenate(held).tobytes())
     return out
 
 
 def signature(tokens: np.ndarray) -> bytes:
+    """The low bytes of the least hashes under SIGNATURE functions."""
     if not len(tokens):
         return bytes(SIGNATURE)
-    least = np.array([(tokens * m).min() for m in _MULTIPLY])
+    least = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, _AT_ONCE // SIGNATURE)
+    for at in range(0, len(tokens), step):
+        least = np.minimum(least, (tokens[None, at : at + step] * _MULTIPLY[:, None]).min(1))
     return (_mixed(least) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+_LEVELS = [f"c{i}" for i in range(DEPTH)]
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, sid, chosen, sig) of every row; stored by the caller."""
+    """(doc_id, sid, words, sig, c0...) of every row: its set's key, whether it has shingles, signature and choices by level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in slices(batches):
-            sids, chosen, sigs = [], [], []
+            rows = []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text, words)
-                sids.append(set_key(tokens))
-                chosen.append(choices(tokens) if len(tokens) else [])
-                sigs.append(signature(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.binary()), pa.array(chosen, pa.list_(pa.list_(pa.int64()))), pa.array(sigs, pa.binary())], ["doc_id", "sid", "chosen", "sig"])
+                rows.append((set_key(tokens), len(tokens) > 0, signature(tokens), *(choices(tokens) if len(tokens) else [bytes(RUNS)] * DEPTH)))
+            cols = list(zip(*rows, strict=True)) or [[]] * (3 + DEPTH)
+            types = [pa.binary(), pa.bool_(), *[pa.binary()] * (1 + DEPTH)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], ["doc_id", "sid", "words", "sig", *_LEVELS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid binary, chosen array<array<long>>, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid binary, words boolean, sig binary, " + ", ".join(f"{c} binary" for c in _LEVELS))
 
 
 def keyed_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Inner join with right (one row a key, with how many of left's rows it has): heavy keys by broadcast, the rest by key."""
     line = max(1, total // HEAVY)
     heavy, light = right.where(F.col(weight) > line), right.where(F.col(weight) <= line)
-    return left.join(F.broadcast(heavy), key).unionByName(left.join(light, key))
+    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti")  # heavy rows are never dealt by their key
+    return left.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+
 
+def _nodes(rows: DataFrame, level: int) -> DataFrame:
+    """rows (sid, c<level>[, at: array of (run, node)]) -> (sid, run, node) one level down: a row for each token chosen there.
 
-def _level(rows: DataFrame, level: int) -> DataFrame:
-    """rows (sid, run, node, chosen) -> (sid, run, node) one level down: a row for each token chosen there."""
-    tokens = F.explode(F.element_at("chosen", F.col("run") * DEPTH + level + 1))
-    return rows.select("sid", "run", "node", tokens.alias("token")).select("sid", "run", F.xxhash64("run", "node", "token").alias("node"))
+    Without ``at`` every run starts from node 0.
+    """
+    name, top = _LEVELS[level], "at" not in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            owner, runs, nodes = [], [], []
+            where = [None] * batch.num_rows if top else batch.column("at").to_pylist()
+            for i, (chosen, at) in enumerate(zip(batch.column(name).to_pylist(), where, strict=True)):
+                counts = np.frombuffer(chosen[:RUNS], np.uint8).astype(np.int64)
+                tokens = np.frombuffer(chosen[RUNS:], np.uint32).astype(np.uint64)
+                if top:
+                    r, n, t = np.repeat(np.arange(RUNS), counts), np.zeros(len(tokens), np.uint64), tokens
+                else:
+                    ends = np.cumsum(counts)
+                    r = np.repeat(np.array([a["run"] for a in at]), counts[[a["run"] for a in at]])
+                    n = np.repeat(np.array([a["node"] for a in at], np.int64).view(np.uint64), counts[[a["run"] for a in at]])
+                    t = np.concatenate([tokens[ends[a["run"]] - counts[a["run"]] : ends[a["run"]]] for a in at])
+                owner.append(np.full(len(t), i))
+                runs.append(r)
+                nodes.append(_mixed(_mixed(n ^ (r.astype(np.uint64) << np.uint64(40))) + t))
+            if owner:
+                sid = batch.column("sid").take(pa.array(np.concatenate(owner)))
+                yield pa.RecordBatch.from_arrays([sid, pa.array(np.concatenate(runs).astype(np.int32)), pa.array(np.concatenate(nodes).view(np.int64))], ["sid", "run", "node"])
+
+    return rows.select("sid", name, *([] if top else ["at"])).mapInArrow(run, "sid binary, run int, node long")
 
 
 def bucket_links(sets: DataFrame) -> DataFrame:
     """(a, b): links between sets that met in a bucket and whose signatures agree; a spanning set of each bucket's."""
-    distinct = stored(sets.where(F.size("chosen") > 0).select("sid", "chosen", "sig").dropDuplicates(["sid"]), "distinct")
-    rows = distinct.select("sid", "chosen", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"), F.lit(0).cast("long").alias("node"))
-    leaves = None
+    distinct = stored(sets.where("words").select("sid", "sig", *_LEVELS).dropDuplicates(["sid"]), "distinct")
+    rows, leaves = distinct, None
     for level in range(DEPTH):
-        met = _level(rows, level)
+        met = _nodes(rows, level)
         counts = stored(met.groupBy("run", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
         large = F.col("n") > SMALL
         size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(large, F.col("n"))), F.lit(0)).alias("large")).first()
@@ -158,7 +202,9 @@ def bucket_links(sets: DataFrame) -> DataFrame:
         leaves = ready.select("sid", "node", "n") if leaves is None else leaves.unionByName(ready.select("sid", "node", "n"))
         if last:
             break
-        rows = kept.where(large).select("sid", "run", "node").join(distinct.select("sid", "chosen"), "sid")
+        # What is split further meets its next choices once for each set: only that level's, only a row a set.
+        spots = kept.where(large).groupBy("sid").agg(F.collect_list(F.struct("run", "node")).alias("at"))
+        rows = stored(spots.join(distinct.select("sid", _LEVELS[level + 1]), "sid"), "frontier")
     return _grouped(leaves.join(distinct.select("sid", "sig"), "sid"), "node", _signature_links, "a binary, b binary", ["sid", "sig"]).distinct()
 
 
