@@ -220,7 +220,9 @@ class LineIndex:
         counts = self.counts.select("key_hi", "key_lo", "n_docs", F.col("max_doc"))
         line = max(1, self.total.held // HEAVY)
         heavy, light = counts.where(F.col("n_docs") > line), counts.where(F.col("n_docs") <= line)
-        hits = found.join(F.broadcast(heavy), ["key_hi", "key_lo"]).unionByName(found.join(light, ["key_hi", "key_lo"]))
+        key = ["key_hi", "key_lo"]
+        rest = found.join(F.broadcast(heavy.select(key)), key, "left_anti")  # heavy rows are never dealt by their key
+        hits = found.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
         loses = hits.where(~F.col("doc_id").eqNullSafe(F.col("max_doc")))
         return loses.groupBy("doc_id").agg(F.collect_set(F.struct("key_hi", "key_lo")).alias("keys"))
 
