@@ -18,7 +18,7 @@ further left) covers it.
    Anchors with over ``HOT`` different segments are split into single windows, dealt by content.
 4. Flags return to their documents as intervals, and covered words are taken out.
 
-Words are compared as 64-bit hashes in the index; segments are grouped by 128-bit ones.
+Words are compared as 64-bit hashes in the index; segments of equal anchors are grouped by a 64-bit hash of their words.
 
 Defined results: a null text has no words; a null doc_id is a document before all
 others; rows that repeat a doc_id are ordered by their text's hash, and equal ones
@@ -45,27 +45,22 @@ GRAM = 4
 HOT = 2_000
 SHARD = 200_000
 HEAVY = 5_000
-CACHE = 400_000
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _RNG = np.random.default_rng(5)
 _COMBINE = _RNG.integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+_BASE = _RNG.integers(1, 1 << 63, dtype=np.uint64) | np.uint64(1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORDS.findall(text or "")
+def words_of(text: str | None) -> list[bytes]:
+    """The words as UTF-8: a byte string splits at exactly the contract's blanks."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def word_hashes(words: list[str], known: WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def segments(w: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,6 +89,15 @@ def segments(w: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarra
     return least[cut].astype(np.int64), cut, np.diff(np.append(cut, n))
 
 
+def contents(w: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each run of words: the difference of prefix sums of powers, shifted to a common start."""
+    powers = np.cumprod(np.full(len(w), _BASE, np.uint64))
+    undo = np.cumprod(np.full(len(w), _INVERSE, np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * powers, dtype=np.uint64)])
+    h = (sums[start + length] - sums[start]) * undo[start]
+    return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64)
+
+
 class WaveletMatrix:
     """A sequence of small integers as bit planes, each with counts before every 64-bit block."""
 
@@ -123,11 +127,13 @@ class WaveletMatrix:
         return at
 
 
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Places ordered by the first ``depth`` symbols or more (prefix doubling)."""
+def suffix_array(t: np.ndarray, depth: int, sure: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Places ordered by the first ``depth`` symbols or more (prefix doubling), and how many places
+    share each one's first symbols, as many as the last doubling up to ``sure``."""
     _, rank = np.unique(t, return_inverse=True)
     n, k = len(t), 1
     order = np.argsort(rank, kind="stable")
+    alike = np.bincount(rank)[rank]
     while k < depth:
         after = np.zeros(n, np.int64)
         after[: n - k] = rank[k:] + 1
@@ -137,19 +143,21 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
         fresh = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = fresh
+        k *= 2
+        if k <= sure:
+            alike = np.bincount(rank)[rank]
         if fresh[-1] == n - 1:
             break
-        k *= 2
-    return order
+    return order, alike
 
 
 class FMIndex:
     """Backward search over a text of integers (0 separates segments), many patterns at once."""
 
-    def __init__(self, text: np.ndarray, depth: int):
-        """depth: the longest pattern that will be sought."""
+    def __init__(self, text: np.ndarray, depth: int, sure: int = 1):
+        """depth: the longest pattern that will be sought; sure: symbols by which ``alike`` may tell places apart."""
         self.text, top = text, int(text.max())
-        self.sa = suffix_array(text, depth)
+        self.sa, self.alike = suffix_array(text, depth, sure)
         bwt = text[self.sa - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
         self.wavelet = WaveletMatrix(bwt, top)
@@ -188,13 +196,18 @@ def repeated_windows(rows: list[tuple[np.ndarray, int]], window: int = WINDOW) -
     text = np.zeros(int((lengths + 1).sum()), np.int64)
     for s, a, b in zip(starts, np.cumsum(lengths) - lengths, np.cumsum(lengths), strict=True):
         text[s : s + b - a] = coded[a:b]
-    index = FMIndex(text, int(lengths.max()) + 1)
-    # A segment that occurs whole in an earlier place repeats all its windows.
-    low, high = index.search(starts + lengths, lengths)
-    whole = index.earliest(low, high) < starts
+    index = FMIndex(text, int(lengths.max()) + 1, window)
+    # A segment that occurs whole in an earlier place repeats all its windows. Where no other place
+    # starts alike there is nothing to seek.
+    some = np.flatnonzero(index.alike[starts] > 1)
+    whole = np.zeros(len(rows), bool)
+    low, high = index.search(starts[some] + lengths[some], lengths[some])
+    whole[some] = index.earliest(low, high) < starts[some]
     at = np.concatenate([s + np.arange(n) for s, (_, n), w in zip(starts, rows, whole, strict=True) if not w] or [np.zeros(0, np.int64)])
-    low, high = index.search(at + window, np.full(len(at), window))
-    earlier = index.earliest(low, high) < at if len(at) else np.zeros(0, bool)
+    earlier = np.zeros(len(at), bool)
+    some = np.flatnonzero(index.alike[at] > 1)
+    low, high = index.search(at[some] + window, np.full(len(some), window))
+    earlier[some] = index.earliest(low, high) < at[some]
     out, k = [], 0
     for (_, n), w in zip(rows, whole, strict=True):
         out.append(np.ones(n, bool) if w else earlier[k : k + n])
@@ -203,61 +216,39 @@ def repeated_windows(rows: list[tuple[np.ndarray, int]], window: int = WINDOW) -
 
 
 def _segment_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, doc_id, row, start, n) of every segment; row is the text's hash."""
+    """(anchor, content, doc_id, row, start, n) of every segment: content hashes its words, row is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in slices(batches):
-            cols: list[list[np.ndarray]] = [[], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], []]
             counts = []
             for text in batch.column("text").to_pylist():
-                found = segments(word_hashes(words_of(text), known), window)
-                counts.append(len(found[0]))
-                for c, x in zip(cols, found, strict=True):
+                w = word_hashes(words_of(text))
+                anchor, start, n = segments(w, window)
+                counts.append(len(anchor))
+                for c, x in zip(cols, (anchor, contents(w, start, n + (window - 1)), start, n), strict=True):
                     c.append(x)
             owner = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            anchor, start, n = (np.concatenate(c) for c in cols)
+            anchor, content, start, n = (np.concatenate(c) for c in cols)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), batch.column("doc_id").take(owner), batch.column("row").take(owner), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "doc_id", "row", "start", "n"]
+                [pa.array(anchor), pa.array(content), batch.column("doc_id").take(owner), batch.column("row").take(owner), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+                ["anchor", "content", "doc_id", "row", "start", "n"],
             )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "anchor long, doc_id long, row long, start int, n int")
-
-
-def _fetch(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """wanted (doc_id, row, spots array<struct<anchor, start, n>>) with words: (anchor, doc_id, row, start, n, content, words)."""
-    want = wanted.select(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"), "spots")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    met = rows.join(want, F.col("doc_id").eqNullSafe(F.col("w_id")) & F.col("row").eqNullSafe(F.col("w_row"))).select("doc_id", "row", "text", "spots")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in slices(batches, 64):
-            out: list[tuple] = []
-            for doc, row, text, spots in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "spots")), strict=True):
-                w = word_hashes(words_of(text), known)
-                for s in spots:
-                    part = w[s["start"] : s["start"] + s["n"] + window - 1].tobytes()
-                    out.append((s["anchor"], doc, row, s["start"], s["n"], xxhash.xxh3_128_digest(part)))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["anchor", "doc_id", "row", "start", "n", "content"])
-
-    return met.mapInArrow(run, "anchor long, doc_id long, row long, start int, n int, content binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "anchor long, content long, doc_id long, row long, start int, n int")
 
 
 def _with_words(docs: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
-    """firsts (doc_id, row, spots of (anchor, start, n, content, hot)) -> (route, doc_id, row, start, n, content, words)."""
+    """firsts (doc_id, row, spots of (anchor, start, n, hot)) -> (route, doc_id, row, start, n, words)."""
     want = firsts.select(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"), "spots")
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     met = rows.join(want, F.col("doc_id").eqNullSafe(F.col("w_id")) & F.col("row").eqNullSafe(F.col("w_row"))).select("doc_id", "row", "text", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in slices(batches, 64):
             out: list[tuple] = []
             for doc, row, text, spots in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "spots")), strict=True):
-                w = word_hashes(words_of(text), known)
+                w = word_hashes(words_of(text))
                 seen = set()
                 for s in spots:
                     if s["start"] in seen:  # repeated rows ask twice
@@ -308,25 +299,30 @@ def _search_shards(rows: DataFrame, shards: int, window: int) -> DataFrame:
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, row, spans): for each document the runs of windows (start, n) that occur earlier."""
-    rows = _segment_rows(docs, window)
-    often = stored(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "anchors")
+    every = stored(_segment_rows(docs, window), "every_segment")
+    often = stored(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "anchors")
     total = often.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     line = max(1, total // HEAVY)
-    heavy, light = often.where(F.col("times") > line).select("anchor"), often.where(F.col("times") <= line).select("anchor")
-    kept = rows.join(F.broadcast(heavy), "anchor").unionByName(rows.join(light, "anchor"))
-    spots = kept.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("spots"))
-    named = stored(_fetch(docs, spots, window), "segments")
+    # Anchors met on over 1/HEAVY of the segments are dealt over salts; there are at most HEAVY of them.
+    salts = F.ceil(F.col("times") / line).cast("int")
+    heavy = often.where(F.col("times") > line).select("anchor", salts.alias("salts"))
+    wanted = often.withColumn("salts", F.when(F.col("times") > line, salts).otherwise(1)).select("anchor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    rows = every.join(F.broadcast(heavy), "anchor", "left")
+    rows = rows.withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("row", "start"), "salts")).otherwise(0).cast("int")).drop("salts")
+    named = stored(rows.join(wanted, ["anchor", "salt"]).drop("salt"), "segments")
     # The first of each content stands for all; the others repeat it whole.
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "start")
     firsts = stored(named.groupBy("anchor", "content", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "contents")
     size = firsts.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") + window), F.lit(0)).alias("words")).first()
     line = max(1, size["rows"] // HEAVY)
-    flat = firsts.select("content", "n", "times", F.col("first").alias("f"))
+    flat = firsts.select("anchor", "content", "n", "times", F.col("first").alias("f"))
     often_met = flat.where((F.col("times") > 1) & (F.col("times") > line))
     met_some = flat.where((F.col("times") > 1) & (F.col("times") <= line))
-    copies = named.join(F.broadcast(often_met), ["content", "n"]).unionByName(named.join(met_some, ["content", "n"])).where(~(place == F.col("f"))).select("doc_id", "row", "start", "n")
+    key = ["anchor", "content", "n"]
+    rest = named.join(F.broadcast(often_met.select(key)), key, "left_anti")  # heavy rows are never dealt by their key
+    copies = named.join(F.broadcast(often_met), key).unionByName(rest.join(met_some, key)).where(~(place == F.col("f"))).select("doc_id", "row", "start", "n")
     crowded = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("anchor", F.lit(True).alias("crowd"))
-    marked = firsts.join(crowded, "anchor", "left").select("anchor", "n", "content", "first.*", F.coalesce("crowd", F.lit(False)).alias("hot"))
+    marked = firsts.join(crowded, "anchor", "left").select("anchor", "n", "first.*", F.coalesce("crowd", F.lit(False)).alias("hot"))
     asked = marked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("spots"))
     worded = _with_words(docs, asked, window)
     shards = max(slots(docs.sparkSession), int(size["words"] // SHARD) + 1)
@@ -350,7 +346,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     edge[s["start"]] += 1
                     edge[s["start"] + s["n"] + window - 1] -= 1
                 out = np.cumsum(edge)[:-1] > 0
-                texts.append(" ".join(w for w, o in zip(words, out.tolist(), strict=True) if not o) if found else " ".join(words))
+                kept = [w for w, o in zip(words, out.tolist(), strict=True) if not o] if found else words
+                texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
                 total.append(len(words))
                 gone.append(int(out.sum()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
