@@ -49,7 +49,6 @@ SIGNATURE = 64
 #: Signature places in which two sets must agree to be linked: 5 deviations under what the threshold leads to expect.
 AGREE = 35
 HEAVY = 5_000
-CACHE = 400_000
 
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
@@ -64,23 +63,16 @@ def recall_of(similarity: float, runs: int = RUNS, depth: int = 1, threshold: fl
     return float(1 - (1 - once**depth) ** runs)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, words: WordHashes, size: int = SHINGLE) -> np.ndarray:
+def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    w = np.fromiter(map(words.__getitem__, (text or "").split()), np.uint64)
+    words = (text or "").split()
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = min(size, len(w))
     if not n:
         return w
@@ -135,11 +127,10 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """(doc_id, sid, words, sig, c0...) of every row: its set's key, whether it has shingles, signature and choices by level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
-                tokens = shingle_set(text, words)
+                tokens = shingle_set(text)
                 rows.append((set_key(tokens), len(tokens) > 0, signature(tokens), *(choices(tokens) if len(tokens) else [bytes(RUNS)] * DEPTH)))
             cols = list(zip(*rows, strict=True)) or [[]] * (3 + DEPTH)
             types = [pa.binary(), pa.bool_(), *[pa.binary()] * (1 + DEPTH)]
@@ -149,11 +140,14 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 
 def keyed_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """Inner join with right (one row a key, with how many of left's rows it has): heavy keys by broadcast, the rest by key."""
+    """Inner join with right (one row a key, with how many of left's rows it has): heavy keys by broadcast, the rest by key.
+
+    The rest is always merged, so that the plan is the same at every size.
+    """
     line = max(1, total // HEAVY)
     heavy, light = right.where(F.col(weight) > line), right.where(F.col(weight) <= line)
     rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti")  # heavy rows are never dealt by their key
-    return left.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+    return left.join(F.broadcast(heavy), key).unionByName(rest.join(light.hint("merge"), key))
 
 
 def _nodes(rows: DataFrame, level: int) -> DataFrame:
@@ -204,8 +198,8 @@ def bucket_links(sets: DataFrame) -> DataFrame:
             break
         # What is split further meets its next choices once for each set: only that level's, only a row a set.
         spots = kept.where(large).groupBy("sid").agg(F.collect_list(F.struct("run", "node")).alias("at"))
-        rows = stored(spots.join(distinct.select("sid", _LEVELS[level + 1]), "sid"), "frontier")
-    return _grouped(leaves.join(distinct.select("sid", "sig"), "sid"), "node", _signature_links, "a binary, b binary", ["sid", "sig"]).distinct()
+        rows = stored(spots.hint("merge").join(distinct.select("sid", _LEVELS[level + 1]), "sid"), "frontier")
+    return _grouped(leaves.hint("merge").join(distinct.select("sid", "sig"), "sid"), "node", _signature_links, "a binary, b binary", ["sid", "sig"]).distinct()
 
 
 def _grouped(rows: DataFrame, key: str, work, schema: str, columns: list[str], block: int = 4 * BLOCK) -> DataFrame:
@@ -339,13 +333,11 @@ def _dense_overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 def _exact_links(first: list[tuple], second: list[tuple] | None) -> list[tuple]:
     """(sid, other, links) of rows (sid, copies, text): links counted with copies; other is a spanning link or the set itself."""
-    words = WordHashes()
-
     def load(rows: list[tuple]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
         held = {}
         for sid, copies, text in rows:
             if sid not in held:
-                tokens = shingle_set(text, words)
+                tokens = shingle_set(text)
                 if set_key(tokens) == sid:  # a doc_id with several texts brings some that aren't this set's
                     held[sid] = (copies, tokens)
         keys = sorted(held)
@@ -384,7 +376,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
     members = stored(keyed_join(labels, sizes, "comp", "n", copies.count()).join(copies, "sid"), "members")
     texts = docs.select(F.col("doc_id").alias("first_id"), "text")
-    withtext = members.withColumnRenamed("first_id", "want").join(texts, F.col("want").eqNullSafe(F.col("first_id")))
+    withtext = members.hint("merge").withColumnRenamed("first_id", "want").join(texts, F.col("want").eqNullSafe(F.col("first_id")))
     exact = stored(_grouped(withtext, "comp", _exact_links, "sid binary, other binary, links long", ["sid", "copies", "text"], BLOCK), "exact")
     linked = exact.groupBy("sid").agg(F.sum("links").alias("links"))
     classes = components(exact.where(F.col("sid") != F.col("other")).select(F.col("sid").alias("a"), F.col("other").alias("b")))
