@@ -37,11 +37,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id."""
-    classes = stored(near_duplicates(docs), "classes")
-    gone = classes.where(~one_of_each(classes)).select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(COLUMNS)
-    again = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    """One document of each group of near copies stays: the one with the least (doc_id, text hash), a null id last."""
+    judged = stored(one_of_each(stored(near_duplicates(docs), "classes")), "judged")
+    gone = judged.where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    gone = stored(gone, "copies_gone")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti").select(COLUMNS)
+    again = judged.where("stays").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
 
 

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlake.llm.common import slices, slots, stored
@@ -124,19 +124,19 @@ _LEVELS = [f"c{i}" for i in range(DEPTH)]
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, sid, words, sig, c0...) of every row: its set's key, whether it has shingles, signature and choices by level."""
+    """(doc_id, text_hash, sid, words, sig, c0...) of every row: its set's key, whether it has shingles, signature and choices by level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 tokens = shingle_set(text)
                 rows.append((set_key(tokens), len(tokens) > 0, signature(tokens), *(choices(tokens) if len(tokens) else [bytes(RUNS)] * DEPTH)))
             cols = list(zip(*rows, strict=True)) or [[]] * (3 + DEPTH)
             types = [pa.binary(), pa.bool_(), *[pa.binary()] * (1 + DEPTH)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], ["doc_id", "sid", "words", "sig", *_LEVELS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], ["doc_id", "text_hash", "sid", "words", "sig", *_LEVELS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid binary, words boolean, sig binary, " + ", ".join(f"{c} binary" for c in _LEVELS))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, sid binary, words boolean, sig binary, " + ", ".join(f"{c} binary" for c in _LEVELS))
 
 
 def keyed_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
@@ -365,10 +365,10 @@ def _exact_links(first: list[tuple], second: list[tuple] | None) -> list[tuple]:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, class_size, n_links, sid) of every row of docs.
+    """(doc_id, class_id, class_size, n_links, comp, text_hash) of every row of docs.
 
     Links join rows with a Jaccard similarity of THRESHOLD or more, copies included; classes are
-    their connected components; class_id is a class's least doc_id.
+    their connected components; class_id is a class's least doc_id, comp names it where that is null too.
     """
     sets = stored(sets_of(docs), "sets")
     copies = stored(sets.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")), "copies")
@@ -384,11 +384,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     info = stored(info, "info")
     named = info.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("k"))
     total = info.count()
-    whole = keyed_join(info.select("sid", "copies", "comp", "n_links"), named, "comp", "k", total).drop("comp", "k")
-    rows = sets.select("doc_id", "sid")
-    return keyed_join(rows, whole, "sid", "copies", total).select("doc_id", "class_id", "class_size", "n_links", "sid")
+    whole = keyed_join(info.select("sid", "copies", "comp", "n_links"), named, "comp", "k", total).drop("k")
+    rows = sets.select("doc_id", "text_hash", "sid")
+    return keyed_join(rows, whole, "sid", "copies", total).select("doc_id", "class_id", "class_size", "n_links", "comp", "text_hash")
 
 
-def one_of_each(classes: DataFrame) -> Column:
-    """Whether a row of ``near_duplicates`` is the one of its class that stays."""
-    return F.col("doc_id").eqNullSafe(F.col("class_id"))
+def one_of_each(classes: DataFrame) -> DataFrame:
+    """Rows of ``near_duplicates`` with ``stays``: whether it is its class's row with the least (doc_id, text_hash), a null id last.
+
+    Only rows that are equal in both can stay together.
+    """
+    ids = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = stored(classes.groupBy("comp").agg(F.min(ids).alias("first"), F.count(F.lit(1)).alias("k")), "first")
+    return keyed_join(classes, first, "comp", "k", classes.count()).withColumn("stays", ids == F.col("first")).drop("first", "k")

@@ -153,7 +153,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates and its number of links."""
     from quorumlake.llm.jaccard_join import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("sid")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("comp", "text_hash")
 
 
 @query

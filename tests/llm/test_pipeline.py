@@ -51,6 +51,23 @@ def test_stages_follow_brute_force(spark, folder):
     assert {r.doc_id for r in packed} == {d for d, _ in got}
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    """A group keeps exactly one row, whether its ids are null, repeat in other groups or belong to different texts."""
+    rng = random.Random(5)
+    base, other, null, lone = (words(rng, 80) for _ in range(4))
+    near = lambda w, i: " ".join([*w[:i], "changed", *w[i + 1 :]])
+    rows = [(1, " ".join(base)), (None, near(base, 20)), (2, near(base, 50))]
+    rows += [(None, " ".join(lone)), (None, "one more text without an id")]
+    rows += [(2, " ".join(other)), (7, near(other, 10))]
+    rows += [(None, " ".join(null)), (None, near(null, 30)), (None, near(null, 60))]
+    rows += [(9, "a b c d e f"), (9, "a  b c d e f"), (9, "a b c d e f")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    groups = [rows[:3], [rows[3]], [rows[4]], rows[5:7], rows[7:10], rows[10:]]
+    assert [sum(r in g for r in got) for g in groups] == [1] * len(groups) and len(got) == len(groups)
+    assert {rows[0], rows[3], rows[4], rows[5]} <= set(got)
+
+
 def test_run_applies_all_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
