@@ -32,10 +32,11 @@ from quorumlake.llm.common import slices
 #: Most examples of each kind that the classifier is fitted on.
 POSITIVES, UNLABELLED = 4_000, 12_000
 #: Hashed words, and the most of them (the commonest among positives) that the classifier weighs.
-SPACE, FEATURES = 1 << 18, 2_048
+SPACE, FEATURES = 1 << 18, 16_384
 ROUNDS, RATE, DECAY = 2_000, 0.2, 1e-5
-#: A word is weighed if so many positives have it, and so many times the share of them that it has of unlabelled texts.
-LEAST, LIFT = 4, 4.0
+#: A word is weighed if so many positives have it, and so many times the share of them that it has of negatives. Negatives
+#: are what is left of the unlabelled texts without their share of positives, so that the lift has no bound at any share.
+LEAST, LIFT = 4, 2.0
 #: Most words a worker remembers.
 CACHE = 400_000
 
@@ -120,7 +121,8 @@ class Model:
         for rows, df in ((positive, df_p), (unlabelled, df_u)):
             for at, _ in rows:
                 df[at] += 1
-        lift = (df_p + 1) / (len(positive) + 2) / ((df_u + 1) / (len(unlabelled) + 2))
+        df_n = np.maximum(df_u - prior * df_p * len(unlabelled) / len(positive), 0) / (1 - prior)
+        lift = (df_p + 1) / (len(positive) + 2) / ((df_n + 1) / (len(unlabelled) + 2))
         chosen = np.flatnonzero((df_p >= LEAST) & (lift > LIFT))
         chosen = chosen[np.argsort(-df_p[chosen], kind="stable")[:FEATURES]]
         column = np.full(SPACE, -1, np.int64)
@@ -145,7 +147,7 @@ class Model:
                 gp, gu = -g_minus, -g_u
             grad = np.append(p.back(gp) + u.back(gu) + DECAY * w, gp.sum() + gu.sum())
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            step = RATE * (1 - t / (rounds + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             w, bias = w - step[:-1], bias - step[-1]
         weights = np.zeros(SPACE)
         weights[chosen] = w

@@ -155,6 +155,20 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     assert sum(right) / len(right) > 0.95
 
 
+@pytest.mark.parametrize("every", [2, 3])
+def test_toxicity_where_toxic_texts_are_common(spark, every):
+    """A third or half of all rows are toxic, and clean texts hold the words of toxic ones now and then."""
+    rng = random.Random(13)
+    toxic_words = ["vilex", "grubon", "snarfy", "mudlo"]
+    rows = [(i, " ".join(words(rng, 40) + (rng.sample(toxic_words, 3) if i % every == 0 else rng.sample(toxic_words, 1) if rng.random() < 0.3 else []))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % every == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    got = toxicity.toxicity(docs, model).withColumn("held", toxicity.held_out(F.col("doc_id"))).where("held").collect()
+    caught = [r.score >= 0.7 for r in got if r.doc_id % every == 0]
+    spared = [r.score < 0.7 for r in got if r.doc_id % every]
+    assert sum(caught) > 0.9 * len(caught) and sum(spared) > 0.9 * len(spared)
+
+
 def test_labels_of_held_out_rows_are_not_learnt(spark):
     rows = [(i, "vilex grubon " + " ".join(words(random.Random(i), 10))) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
