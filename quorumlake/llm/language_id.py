@@ -1,7 +1,8 @@
 """Language ID by Bayesian evidence fusion.
 
 Evidence for each text: hashed character trigrams (a naive Bayes model counted over all
-labelled documents), the language its markup declares, its address suffix and a
+labelled documents; every labelled language is kept, those with few texts smoothed
+towards the whole corpus), the language its markup declares, its address suffix and a
 prior of its host. Host priors are smoothed down a hierarchy, host -> domain ->
 suffix -> everything, from expected counts gathered by grouped aggregation; a
 row's own share is left out of its host's counts.
@@ -36,8 +37,11 @@ EVIDENCE = 200.0
 #: Rows of the level above that a level's prior weighs as much as.
 STRENGTH = 10.0
 ACCEPT = 0.5
-MIN_TEXTS = 20
 HEAVY = 2_000
+#: Stands for declared languages that no text is labelled with; no name of a language.
+OTHER = "\x00"
+#: Languages whose counts a task holds before it passes them on.
+HELD = 64
 #: Characters scored at once, so that a very long text takes bounded memory.
 CHUNK = 1 << 20
 
@@ -69,35 +73,49 @@ def trigram_counts(text: str) -> np.ndarray:
 
 
 class TextModel:
-    """Trigram log-probabilities by language."""
+    """Trigram log-probabilities by language: ``logs`` has a row for each bucket, 128 KiB for each language in all."""
 
     def __init__(self, languages: list[str], logs: np.ndarray):
         self.languages, self.logs = languages, logs
 
     @classmethod
-    def train(cls, docs: DataFrame, min_texts: int = MIN_TEXTS) -> TextModel:
-        """Counts over all labelled rows; the driver gets languages x buckets sums."""
+    def train(cls, docs: DataFrame) -> TextModel:
+        """Counts over all labelled rows; the driver gets languages x buckets sums.
+
+        A trigram's share in a language is smoothed towards its share in the corpus with a weight of the language's
+        distinct trigrams (Witten and Bell), so that few texts are enough and many are hardly changed.
+        """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[str, np.ndarray] = {}
+
+            def passed_on() -> Iterator[pa.RecordBatch]:
+                for lang, n in sums.items():
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
+                sums.clear()
+
             for batch in slices(batches):
+                if len(sums) > HELD:
+                    yield from passed_on()
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if lang not in sums:
-                        sums[lang] = np.zeros(BUCKETS + 1, np.int64)
-                    sums[lang][:-1] += trigram_counts(text or "")
-                    sums[lang][-1] += 1
-            for lang, n in sums.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
+                        sums[lang] = np.zeros(BUCKETS, np.int64)
+                    sums[lang] += trigram_counts(text or "")
+            yield from passed_on()
 
         known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
         counts = known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-        sizes = counts.where(F.col("bucket") == BUCKETS)
-        keep = [r["lang"] for r in sizes.where(F.col("n") >= min_texts).orderBy("lang").limit(200).collect()]
-        logs = np.full((len(keep), BUCKETS), 0.5)
-        for r in counts.where(F.col("lang").isin(keep) & (F.col("bucket") < BUCKETS)).toLocalIterator() if keep else []:
-            logs[keep.index(r["lang"]), r["bucket"]] += r["n"]
-        logs = np.log(logs / logs.sum(1, keepdims=True)) if keep else logs
+        counts = stored(counts, "trigrams")
+        keep = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+        row, n = {lang: i for i, lang in enumerate(keep)}, np.zeros((BUCKETS, len(keep)), np.float32)
+        for r in counts.toLocalIterator():
+            n[r["bucket"], row[r["lang"]]] = r["n"]
+        whole = n.sum(1, dtype=np.float64) + 0.5
+        whole = (whole / whole.sum()).astype(np.float32)
+        kinds = np.count_nonzero(n, axis=0).astype(np.float32)
+        total = n.sum(0, dtype=np.float64).astype(np.float32)
+        logs = np.log((n + kinds * whole[:, None]) / (total + kinds))
         return cls(keep, logs)
 
     def score(self, text: str) -> list[float] | None:
@@ -106,7 +124,8 @@ class TextModel:
             return None
         n = trigram_counts(text)
         total = int(n.sum())
-        return list(map(float, self.logs @ n * (min(1.0, EVIDENCE / total) * 0.2)))
+        at = np.flatnonzero(n)
+        return list(map(float, n[at] @ self.logs[at] * (min(1.0, EVIDENCE / total) * 0.2)))
 
 
 def posterior(logs: np.ndarray) -> np.ndarray:
@@ -164,11 +183,14 @@ def fuse(scored: DataFrame, model: TextModel) -> DataFrame:
     none = [F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), F.lit(None).cast("string").alias("text_lang")]
     if not n:
         return scored.select(*keys, *none)
-    seen = scored.where(F.col("declared").isNotNull()).withColumn("d", F.when(F.col("declared").isin(languages), F.col("declared")).otherwise("other"))
+    seen = scored.where(F.col("declared").isNotNull()).withColumn("d", F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(OTHER))
     table = {r["d"]: (r["counts"], r["total"]) for r in _expected(seen, n, "d").collect()}  # at most n + 1 rows
-    marks = [*languages, "other"]
+    marks = [*languages, OTHER]
     says = np.array([[(table[d][0][i] if d in table else 0.0) + (5.0 if d == languages[i] else 0.5) for i in range(n)] for d in marks])
     says = np.log(says / says.sum(0, keepdims=True))
+    spoken = F.broadcast(scored.sparkSession.createDataFrame([(d, list(map(float, row))) for d, row in zip(marks, says, strict=True)], "d string, said array<double>"))
+    mark = F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(F.when(F.col("declared").isNotNull(), OTHER))
+    scored = scored.withColumn("mark", mark).join(spoken, F.col("mark") == F.col("d"), "left").drop("mark", "d")
     priors = host_priors(scored, n)
     rows = scored.agg(F.count(F.lit(1))).first()[0]
     line = max(1, rows // HEAVY)
@@ -182,11 +204,7 @@ def fuse(scored: DataFrame, model: TextModel) -> DataFrame:
     others = F.zip_with(F.col("host_counts"), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
     others_total = F.greatest(F.col("host_total") - F.when(F.col("post").isNull(), 0.0).otherwise(1.0), F.lit(0.0))
     prior = _smoothed(others, others_total, F.col("above"), STRENGTH)
-    said = F.lit(None).cast("array<double>")
-    for d, row in zip(marks, says, strict=True):
-        test = (F.col("declared") == d) if d != "other" else F.col("declared").isNotNull() & ~F.col("declared").isin(languages)
-        said = F.when(test, F.array(*map(F.lit, map(float, row)))).otherwise(said)
-    said = F.coalesce(said, F.array(*[F.lit(0.0)] * n))
+    said = F.coalesce(F.col("said"), F.array(*[F.lit(0.0)] * n))
     logs = F.zip_with(F.zip_with(F.col("logs"), F.transform(prior, lambda p: F.log(p)), lambda a, b: a + b), said, lambda a, b: a + b)
     out = joined.withColumn("total_logs", logs).withColumn("best", F.array_max("total_logs"))
     confidence = 1.0 / F.aggregate(F.transform("total_logs", lambda x: F.exp(x - F.col("best"))), F.lit(0.0), lambda a, b: a + b)

@@ -207,6 +207,25 @@ def test_language_by_fused_evidence(spark):
     assert not out["page", 20].accepted and not out["page", 21].accepted
 
 
+def test_languages_of_few_texts_are_kept(spark):
+    """A language with one or two texts beside large ones, and tables where every language is small."""
+    rng = random.Random(14)
+    letters = {"aa": "abde", "bb": "klmo", "other": "uvwx", "zz": "prst"}
+    text = lambda lang: " ".join("".join(rng.choices(letters[lang], k=4)) for _ in range(60))
+    langs = ["aa"] * 60 + ["bb"] * 40 + ["other"] * 2 + ["zz"]
+    for some in (langs, langs[-3:]):
+        rows = [(i, text(lang), lang, "s0") for i, lang in enumerate(some)] + [(1000, text("other"), None, "s0")]
+        out = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert [out[i].lang for i in range(len(some))] == some and out[1000].lang == "other" and len(out) == len(rows)
+
+
+def test_more_than_two_hundred_languages(spark):
+    docs = spark.createDataFrame([(i, f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i) * 4}", f"l{i:03}", "s0") for i in range(210)], "doc_id long, text string, lang string, source string")
+    model = language_id.TextModel.train(docs)
+    assert len(model.languages) == 210
+    assert [int(np.argmax(model.score(chr(0x4E00 + i) * 3))) for i in range(210)] == list(range(210))
+
+
 def test_language_without_rows_or_labels(none, docs, rows):
     assert language_id.identify(none).collect() == []
     unlabelled = language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
