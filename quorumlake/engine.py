@@ -247,23 +247,35 @@ class Engine:
         name, endpoint = (view.get("cohorts") or list(doc.cohorts))[0], self._endpoint(view)
         frame, truths, made = self._view(doc, {"cohorts": [name]})
         terms = [variable(frame, s, made) for s in view["params"]["variables"]]
+        strata = [variable(frame, s, made) for s in view["params"].get("strata", ())]
         status = F.col(endpoint.status)
         event = F.when(status.isin(list(endpoint.events)), 1).when(status.isin(list(endpoint.censored)), 0)
         whole = truths[name].v == TRUE
-        for t in terms:
+        for t in [*terms, *strata]:
             whole = whole & (t.x == 0)
         rows = frame.df.where(whole & event.isNotNull() & (F.col(endpoint.time) >= 0))
-        if rows.limit(MAX_INPUT // (len(terms) + 2) + 1).count() > MAX_INPUT // (len(terms) + 2):
+        late = []
+        if endpoint.entry:
+            late = [F.col(endpoint.entry).cast("double")]
+            rows = rows.where(F.col(endpoint.entry) < F.col(endpoint.time))
+        most = MAX_INPUT // (len(terms) + len(strata) + len(late) + 2)
+        if rows.limit(most + 1).count() > most:
             raise Refusal("INPUT_TOO_LARGE", f"over {MAX_INPUT} cells")
-        got = np.array(rows.select(F.col(endpoint.time).cast("double"), event, *[t.val.cast("double") for t in terms]).collect(), float)
-        if not len(got):
+        cells = rows.select(F.col(endpoint.time).cast("double"), event, *[t.val.cast("double") for t in terms], *late, *[t.val.cast("string") for t in strata]).collect()
+        if not cells:
             return {"reason": "no_units"}
-        fit = survival.cox(got[:, 0], got[:, 1], got[:, 2:])
+        wide = 2 + len(terms)
+        got = np.array([tuple(r)[:wide] for r in cells], float)
+        sets: dict[str, np.ndarray] = {"entry": np.array([r[wide] for r in cells], float)} if late else {}
+        if strata:
+            places: dict[tuple, int] = {}
+            sets["strata"] = np.array([places.setdefault(tuple(r)[wide + len(late) :], len(places)) for r in cells])
+        fit = survival.cox(got[:, 0], got[:, 1], got[:, 2:], **sets)
         if "reason" in fit:
             return fit
         z = stats.z_of(view["params"].get("level", 0.95))
         bounds = [(float(np.exp(b - z * s)), float(np.exp(b + z * s))) for b, s in zip(fit["beta"], fit["se"], strict=True)]
-        ph = survival.proportional_hazards(got[:, 0], got[:, 1], got[:, 2:], fit)
+        ph = survival.proportional_hazards(got[:, 0], got[:, 1], got[:, 2:], fit, **sets)
         return fit | {"n": len(got), "events": int(got[:, 1].sum()), "intervals": bounds, "ph_p": ph, "ph_violated": [p < PH_LEVEL for p in ph], "few_events": got[:, 1].sum() < EVENTS_PER_TERM * len(terms)}
 
 

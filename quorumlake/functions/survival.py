@@ -164,14 +164,16 @@ def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, entry: np.ndarray |
     return {"beta": beta.tolist(), "se": se.tolist(), "hazard_ratio": np.exp(beta).tolist(), "log_likelihood": value, "null_log_likelihood": start[0], "score": float(start[1] @ np.linalg.pinv(start[2]) @ start[1]), "covariance": cov.tolist()}
 
 
-def proportional_hazards(time: np.ndarray, event: np.ndarray, x: np.ndarray, fit: dict) -> list[float]:
-    """p-value of each covariate's scaled Schoenfeld residuals against event time ranks."""
+def proportional_hazards(time: np.ndarray, event: np.ndarray, x: np.ndarray, fit: dict, entry: np.ndarray | None = None, strata: np.ndarray | None = None) -> list[float]:
+    """p-value of each covariate's scaled Schoenfeld residuals, within the risk sets of the fit, against event time ranks."""
     beta, order = np.array(fit["beta"]), np.argsort(time, kind="stable")
     t, e, z = time[order], event[order], x[order]
+    since = np.full(len(t), -np.inf) if entry is None else entry[order]
+    own = np.zeros(len(t), int) if strata is None else strata[order]
     w = np.exp(z @ beta)
     residuals, places = [], []
     for i in np.flatnonzero(e == 1):
-        at = t >= t[i]
+        at = (t >= t[i]) & (since < t[i]) & (own == own[i])
         residuals.append(z[i] - (w[at] @ z[at]) / w[at].sum())
         places.append(t[i])
     r, g = np.array(residuals), np.unique(np.array(places), return_inverse=True)[1].astype(float)

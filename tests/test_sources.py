@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import sqlite3
 import zipfile
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quorumlake import testdata
 from quorumlake.engine import Engine
+from quorumlake.functions import survival
 from quorumlake.model import Refusal
 from quorumlake.operators import gate, infer
 from quorumlake.queries import FLAGSHIP, doc, exists, value
@@ -122,6 +125,29 @@ def test_survival_views(spark):
     assert cox["n"] > 0 and len(cox["ph_p"]) == 1
 
 
+def test_cox_view_of_delayed_entry_and_strata(spark):
+    """The view fits the risk sets that its endpoint and strata define; rows with entry at or after time go."""
+    release = testdata.follow_up(spark, SF)
+    ep = release.endpoints["ep:last_order"]
+    table = release.tables["customer"].frame
+    rows = [r for r in table.collect() if r[ep.status] in (*ep.events, *ep.censored) and r[ep.time] is not None and r[ep.time] >= 0]
+    middle = sorted(r[ep.time] for r in rows)[len(rows) // 4]
+    table = table.withColumn("late", F.when(F.col("c_custkey") % 2 == 0, F.lit(float(middle))).otherwise(F.lit(-1.0)))
+    release.tables["customer"].frame = table
+    release.endpoints["ep:late"] = replace(ep, id="ep:late", entry="late")
+    d = doc("customer", a={"all": []})
+    params = {"endpoint": "ep:late", "variables": [{"column": "customer.c_acctbal"}], "strata": [{"column": "customer.c_mktsegment"}]}
+    got = Engine(release).run(d | {"views": [{"analysis": "survival.cox", "cohorts": ["a"], "params": params}]})["views"][0]["values"]
+    entry = [float(middle) if r.c_custkey % 2 == 0 else -1.0 for r in rows]
+    kept = [(float(r[ep.time]), int(r[ep.status] in ep.events), float(r.c_acctbal), e, r.c_mktsegment) for r, e in zip(rows, entry, strict=True) if e < r[ep.time]]
+    time, event, x, entry = (np.array([k[i] for k in kept]) for i in range(4))
+    strata = np.unique([k[4] for k in kept], return_inverse=True)[1]
+    want = survival.cox(time, event, x[:, None], entry, strata)
+    assert len(kept) < len(rows) and got["n"] == len(kept)
+    assert got["beta"] == pytest.approx(want["beta"], rel=1e-6) and got["se"] == pytest.approx(want["se"], rel=1e-6)
+    assert got["ph_p"] == pytest.approx(survival.proportional_hazards(time, event, x[:, None], want, entry, strata), rel=1e-6)
+
+
 def test_pack_analysis(spark):
     made = Engine(testdata.release(spark, SF), analyses={"shop.total": lambda e, d, v: {"n": e.units(d, "a").count()}})
     out = made.run(doc("customer", [{"analysis": "shop.total"}], a={"all": []}))
