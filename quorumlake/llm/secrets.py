@@ -1,7 +1,7 @@
 """Secret scans: base rules plus formats learned by grammar inference.
 
-1. One pass over the texts finds the base spans (three fixed rules), and the other
-   credential-like tokens as candidates; the small result is stored.
+1. One pass over the texts finds the base spans (three fixed rules), and all other tokens
+   of ``MIN_ASSIGN`` characters or more, and their parts at ``=`` and ``/``, as candidates; both are stored.
 2. The base spans' values are labelled credentials. A bounded sample of distinct
    values for each kind (``TRAIN``, the lowest hashes) builds a prefix tree over
    character classes whose statistically compatible states are merged (Hoeffding
@@ -10,7 +10,7 @@
    automaton against a class bigram model of the candidates' own population,
    counted over the whole corpus. Those over ``MARGIN`` become spans of kind ``format``.
 
-Base spans always stay; a learned span never overlaps one.
+Base spans always stay; a learned span never overlaps one, nor another learned span.
 
 Defined results: a null text is empty; a null or repeated doc_id is passed through;
 without any labelled value nothing is learned and only base spans are returned;
@@ -35,9 +35,10 @@ from quorumlake.llm.common import slices, stored
 TRAIN = 2_000
 #: Confidence of the merge test: states differ if a Hoeffding bound at this level says so.
 ALPHA = 0.05
-#: Log-likelihood ratio a character, and the shortest candidate.
+#: Log-likelihood ratio a character.
 MARGIN = 0.35
-MIN_CANDIDATE = 16
+#: Most class words whose scores a worker remembers.
+CACHE = 200_000
 
 #: The base rules. Letters of the assignment's names stand in either case.
 _NAMES = "password passwd secret token api_?key".split()
@@ -48,8 +49,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "format")
 
-_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_CANDIDATE},}}")
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: Candidates are as short as the values that the automata learn from.
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_ASSIGN},}}")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -61,14 +62,17 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tokens with a digit and a letter which no base span overlaps."""
+    """Tokens which no base span overlaps, and their parts between '=' and '/', by start and then the longer first."""
     out = []
     for m in _CANDIDATE.finditer(text):
         token = m[0].rstrip(".=-")
-        if len(token) >= MIN_CANDIDATE and _DIGIT.search(token) and _LETTER.search(token):
-            a, b = m.start(), m.start() + len(token)
-            if not any(s < b and a < e for _, s, e, _ in taken):
-                out.append((a, b, token))
+        cuts = [-1, *(i for i, c in enumerate(token) if c in "=/")]
+        spans = {(0, len(token)), *((a + 1, b) for a, b in zip(cuts, [*cuts[1:], len(token)], strict=True))}
+        spans |= {(a + 1, len(token)) for a in cuts[1:]}
+        for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+            a, b = a + m.start(), b + m.start()
+            if b - a >= MIN_ASSIGN and not any(s < b and a < e for _, s, e, _ in taken):
+                out.append((a, b, text[a:b]))
     return out
 
 
@@ -242,14 +246,28 @@ class Scorer:
         self.total: dict[str, int] = defaultdict(int)
         for (a, _), n in pairs.items():
             self.total[a] += n
+        self.known: dict[str, float] = {}
 
     def ordinary(self, word: str) -> float:
         return sum(math.log((self.pairs.get((a, b), 0) + 0.5) / (self.total[a] + 15)) for a, b in zip(word, word[1:], strict=False))
 
     def __call__(self, token: str) -> float:
         word = classes(token)
-        likely = max((a.log_likelihood(word) for a in self.automata.values()), default=-math.inf)
-        return (likely - self.ordinary(word)) / len(word)
+        if word not in self.known:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            likely = max((a.log_likelihood(word) for a in self.automata.values()), default=-math.inf)
+            self.known[word] = (likely - self.ordinary(word)) / len(word)
+        return self.known[word]
+
+
+def apart(hits: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Of hits (start, end, score) that overlap, which are parts of one token, the best; the longer of equal ones."""
+    out: list[tuple[int, int, float]] = []
+    for a, b, v in sorted(hits, key=lambda h: (-h[2], h[0] - h[1], h[0])):
+        if not any(s < b and a < e for s, e, _ in out):
+            out.append((a, b, v))
+    return out
 
 
 def secret_scan(docs: DataFrame, per_kind: int = TRAIN, margin: float = MARGIN) -> DataFrame:
@@ -264,7 +282,8 @@ def secret_scan(docs: DataFrame, per_kind: int = TRAIN, margin: float = MARGIN)
             rows = []
             for base, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 spans = [(s["start"], KINDS.index(s["kind"]), s["end"], None) for s in base]
-                spans += [(f["start"], 3, f["end"], v) for f in found if (v := score(f["value"])) >= margin]
+                hits = [(f["start"], f["end"], v) for f in found if (v := score(f["value"])) >= margin]
+                spans += [(a, 3, b, v) for a, b, v in apart(hits)]
                 rows.append([{"kind": KINDS[k], "start": a, "end": b, "score": v} for a, k, b, v in sorted(spans, key=lambda s: s[:3])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 

@@ -510,6 +510,21 @@ def test_learnt_formats_add_spans(spark):
     assert [s.kind for s in out[100]] == ["format"] and out[101] == [] and out[102] == []
 
 
+def test_short_formats_and_values_behind_other_names(spark):
+    """Values of a learnt format of 10 letters stand without their keyword, alone or behind an unlisted name."""
+    rng = random.Random(15)
+    some = lambda: "".join(rng.choices("abcdef", k=10))
+    rows = [(i, f"{' '.join(words(rng, 20))} enlightenment everywhere token = '{some()}' mail{i}name 2024010{i % 10} www/paths/documents") for i in range(80)]
+    loose = {100: "{}", 101: "session={} end", 102: "www/refs/{}"}
+    value = {k: some() for k in loose}
+    rows += [(k, t.format(value[k])) for k, t in loose.items()] + [(103, "everywhere enlightenment")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "format"] for r in secrets.secret_scan(frame).collect()}
+    assert {k: got[k] for k in loose} == {k: [v] for k, v in value.items()}
+    assert got[103] == [] and not any(got[i] for i in range(80))
+
+
 def test_secret_scan_without_rows(none, docs, rows):
     assert secrets.secret_scan(none).collect() == []
     assert len(secrets.secret_scan(docs).collect()) == len(rows)
