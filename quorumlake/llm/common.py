@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share; one of this machine only where the session names none and runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='shared_')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
 
@@ -40,9 +48,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     Unlike a cached frame it survives lost executors, and unlike an eager
     RDD checkpoint it computes the plan once.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # once the table is written its shuffle files serve nobody
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes stored tables once what was made of them is stored itself."""
+    for t in tables:
+        if (path := getattr(t, "_stored_at", None)) is not None:
+            jvm, spark = t.sparkSession._jvm, t.sparkSession
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def slots(spark: SparkSession) -> int:
@@ -59,3 +87,43 @@ def slices(batches: Iterator[pa.RecordBatch], max_rows: int = 256) -> Iterator[p
     for batch in batches:
         for at in range(0, batch.num_rows, max_rows):
             yield batch.slice(at, max_rows)
+
+
+def sized_slices(batches: Iterator[pa.RecordBatch], column: str, max_rows: int = 256, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices that also hold no more than about max_bytes of a text column (a longer text stands alone)."""
+    for batch in slices(batches, max_rows):
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(float)))
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + max_bytes, "right")) - at)
+            yield batch.slice(at, n)
+            at += n
+
+
+#: At most so many keys can hold over 1/HEAVY of the rows each: those are broadcast.
+HEAVY = 5_000
+
+
+def keyed_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int) -> DataFrame:
+    """Inner join with right (one row a key, with how many of left's rows it has): heavy keys by broadcast, the rest by key.
+
+    The rest is always merged, so that the plan is the same at every size.
+    """
+    keys = [key] if isinstance(key, str) else key
+    line = max(1, total // HEAVY)
+    heavy, light = right.where(F.col(weight) > line), right.where(F.col(weight) <= line)
+    rest = left.join(F.broadcast(heavy.select(keys)), keys, "left_anti")  # heavy rows are never dealt by their key
+    return left.join(F.broadcast(heavy), keys).unionByName(rest.join(light.hint("merge"), keys))
+
+
+def unrepeated(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches without rows whose keys equal those of the row before them.
+
+    Behind a merge join rows are in order of its keys, so equal rows go here without another shuffle.
+    """
+    last = None
+    for batch in batches:
+        rows = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        fresh = [r != b for r, b in zip(rows, [last, *rows[:-1]], strict=True)]
+        last = rows[-1] if rows else last
+        yield batch if all(fresh) else batch.filter(pa.array(fresh))

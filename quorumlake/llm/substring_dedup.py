@@ -1,4 +1,4 @@
-"""Substring dedup: an FM-index for each shard, over wavelet matrices.
+"""Substring dedup: a compressed FM-index for each shard, searched by backward search over wavelet matrices.
 
 A window is ``WINDOW`` consecutive words of a document. A word goes if a window whose
 word sequence starts earlier somewhere (a smaller doc_id, or the same document
@@ -6,45 +6,55 @@ further left) covers it.
 
 1. Each window has an anchor, the least hash among its ``GRAM``-word grams; neighbouring
    windows share one and form a segment. Equal windows have equal anchors, so a shard
-   that gets all segments of an anchor sees every occurrence. Segments whose anchor is
-   met once in the corpus can't repeat and go no further.
-2. Segments of equal content collapse to the first of them by an aggregation; all
-   the others repeat it whole. What is left of a hot passage is one row.
-3. A shard concatenates its segments in order of document and position, builds the
-   suffix array and the Burrows-Wheeler transform in a wavelet matrix with counted
-   64-bit blocks, and streams its segments through it by backward search. A segment's
-   longest match is sought whole first, then window by window; the least
-   position in a match's suffix interval says whether an earlier occurrence exists.
-   Anchors with over ``HOT`` different segments are split into single windows, dealt by content.
-4. Flags return to their documents as intervals, and covered words are taken out.
-
-Words are compared as 64-bit hashes in the index; segments of equal anchors are grouped by a 64-bit hash of their words.
+   that gets all segments of an anchor sees every occurrence. One shuffle by anchor drops the
+   segments whose anchor is met once in the corpus: their windows can't repeat. Anchors that may hold over
+   1/HEAVY of the segments are found first, in blocks, and dealt over salts.
+2. A segment's content (its words) is indexed once, at its first place. The others are its copies: every window
+   that the index holds of them starts earlier, at that first place or before.
+3. A shard concatenates its contents in order of document and position and keeps them as an FM-index alone: the
+   Burrows-Wheeler transform in a wavelet matrix with counted 64-bit blocks, and every
+   ``SAMPLE``-th text position. The words and the suffix array go. The contents are then streamed through
+   it: matching statistics (for each place the longest match, up to ``WINDOW``, which occurs besides
+   the place itself) by backward search. Where they reach ``WINDOW``, the
+   interval's positions are walked out by the last-to-first mapping, and the least tells if an
+   earlier occurrence exists. Runs of such windows are reported.
+4. The exact way for the rest: anchors with over ``HOT`` different contents (a passage's edges, beside
+   ever other words) would make a shard too large, so their windows are grouped one by one
+   by a 128-bit hash of their words, pre-aggregated, and all but the first place of a group are repeats.
+5. Runs return to their documents, and covered words are taken out.
+
+Words are compared as 64-bit hashes in the index; contents of equal anchors are grouped by a further 64-bit hash of their words.
 
 Defined results: a null text has no words; a null doc_id is a document before all
-others; rows that repeat a doc_id are ordered by their text's hash, and equal ones
-among them count as one document; documents of under ``WINDOW`` words stay as they are;
-extra columns are ignored.
+others; rows that repeat a doc_id with other texts are documents ordered by their text's hash, and equal ones
+among them count as one document; documents of under ``WINDOW`` words stay as they are; very long texts are taken
+whole; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quorumlake.llm.common import slices, slots, stored
+from quorumlake.llm.common import HEAVY, forget, keyed_join, sized_slices, slices, slots, stored, unrepeated
 
 WINDOW = 20
 GRAM = 4
-#: Different segments of an anchor from which its windows are dealt singly, and words in a shard's index.
+#: Different contents of an anchor from which its windows are grouped singly, and words in a shard's index.
 HOT = 2_000
 SHARD = 200_000
-HEAVY = 5_000
+#: Text positions for one that is kept.
+SAMPLE = 8
+#: Segments in which heavy anchors are sought at once.
+BLOCK = 1 << 20
+#: Tasks over which the segments of a heavy anchor are dealt.
+SALTS = 1_024
 
 _RNG = np.random.default_rng(5)
 _COMBINE = _RNG.integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
@@ -63,14 +73,16 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def segments(w: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(w: np.ndarray, lengths: list[int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window's start, number of windows) of each run of windows with one anchor in one place.
 
+    w: the word hashes of documents of these lengths, one after the other; starts count from the first one's.
     Two equal windows never lie in one segment: their anchors' places would differ.
     """
     n = len(w) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
     gram = min(GRAM, window)
     g = np.zeros(len(w) - gram + 1, np.uint64)
     for j in range(gram):
@@ -85,8 +97,10 @@ def segments(w: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarra
         left = least[a] <= least[b]
         least, spot = np.where(left, least[a], least[b]), np.where(left, spot[a], spot[b])
         span += step
-    cut = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]]))
-    return least[cut].astype(np.int64), cut, np.diff(np.append(cut, n))
+    whole = np.flatnonzero(owner[:n] == owner[window - 1 :])  # windows within one document
+    spot, of = spot[whole], owner[whole]
+    cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(whole)), bool), (spot[1:] != spot[:-1]) | (of[1:] != of[:-1])]))
+    return least[whole[cut]].astype(np.int64), whole[cut], np.diff(np.append(cut, len(whole)))
 
 
 def contents(w: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -107,164 +121,239 @@ class WaveletMatrix:
         v = values.astype(np.int64)
         for b in range(self.bits - 1, -1, -1):
             bit = (v >> b) & 1
-            padded = np.zeros((self.n // 64 + 1) * 64, np.uint8)
-            padded[: self.n] = bit
-            block = np.packbits(padded, bitorder="little").view(np.uint64)
-            count = np.bitwise_count(block).astype(np.int32)
+            block, before = bit_plane(bit)
             self.blocks.append(block)
-            self.before.append(np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int32))
+            self.before.append(before)
             self.zeros.append(int(self.n - bit.sum()))
             v = np.concatenate([v[bit == 0], v[bit == 1]])
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol occurs before each place, less the symbol's own start in the last plane."""
+        """How often each symbol occurs before each place, past the symbol's own start in the last plane."""
         at = at.astype(np.int64)
         for level in range(self.bits):
-            k = at >> 6
-            ones = self.before[level][k] + np.bitwise_count(self.blocks[level][k] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            ones = ones_before(self.blocks[level], self.before[level], at)
             bit = (symbol >> (self.bits - 1 - level)) & 1
             at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
         return at
 
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each place, and how often it occurs before, as ``rank`` has it."""
+        at, symbol = at.astype(np.int64), np.zeros(len(at), np.int64)
+        for level in range(self.bits):
+            bit = (self.blocks[level][at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+            ones = ones_before(self.blocks[level], self.before[level], at)
+            symbol = symbol * 2 + bit
+            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
+        return symbol, at
+
+
+def bit_plane(bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits in 64-bit blocks, and the ones before each block."""
+    padded = np.zeros((len(bit) // 64 + 1) * 64, np.uint8)
+    padded[: len(bit)] = bit
+    block = np.packbits(padded, bitorder="little").view(np.uint64)
+    return block, np.concatenate([[0], np.cumsum(np.bitwise_count(block).astype(np.int32))[:-1]]).astype(np.int32)
+
 
-def suffix_array(t: np.ndarray, depth: int, sure: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Places ordered by the first ``depth`` symbols or more (prefix doubling), and how many places
-    share each one's first symbols, as many as the last doubling up to ``sure``."""
-    _, rank = np.unique(t, return_inverse=True)
+def ones_before(block: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+    k = at >> 6
+    return before[k] + np.bitwise_count(block[k] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Places in order of the suffixes that start there, by prefix doubling."""
+    rank = np.unique(t, return_inverse=True)[1].reshape(-1).astype(np.int64)
     n, k = len(t), 1
-    order = np.argsort(rank, kind="stable")
-    alike = np.bincount(rank)[rank]
-    while k < depth:
+    while True:
         after = np.zeros(n, np.int64)
         after[: n - k] = rank[k:] + 1
-        key = rank.astype(np.int64) * (n + 2) + after
+        key = rank * (n + 2) + after
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
         fresh = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        if fresh[-1] == n - 1 or k >= n:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = fresh
         k *= 2
-        if k <= sure:
-            alike = np.bincount(rank)[rank]
-        if fresh[-1] == n - 1:
-            break
-    return order, alike
 
 
 class FMIndex:
-    """Backward search over a text of integers (0 separates segments), many patterns at once."""
+    """Backward search over a text of integers which ends with its only 0, many patterns at once. The text isn't kept."""
 
-    def __init__(self, text: np.ndarray, depth: int, sure: int = 1):
-        """depth: the longest pattern that will be sought; sure: symbols by which ``alike`` may tell places apart."""
-        self.text, top = text, int(text.max())
-        self.sa, self.alike = suffix_array(text, depth, sure)
-        bwt = text[self.sa - 1]
+    def __init__(self, text: np.ndarray, sample: int = SAMPLE):
+        top, sa = int(text.max()), suffix_array(text)
+        self.n, self.sample = len(text), sample
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
-        self.wavelet = WaveletMatrix(bwt, top)
-        symbols = np.arange(top + 1)
-        self.origin = self.wavelet.rank(symbols, np.zeros(top + 1, np.int64))
-
-    def search(self, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of the patterns text[end - length : end]."""
-        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.text), np.int64)
-        live = np.arange(len(ends))
-        for step in range(1, int(lengths.max(initial=0)) + 1):
-            live = live[(lengths[live] >= step) & (high[live] > low[live])]
+        self.wavelet = WaveletMatrix(text[sa - 1], top)
+        self.origin = self.wavelet.rank(np.arange(top + 1), np.zeros(top + 1, np.int64))
+        marked = sa % sample == 0
+        self.marks, self.before = bit_plane(marked)
+        self.kept = sa[marked].astype(np.int32)
+
+    def extend(self, c: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix intervals of c before each pattern."""
+        both = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([low, high]))
+        shift = self.first[c] - self.origin[c]
+        return both[: len(c)] + shift, both[len(c) :] + shift
+
+    def matching(self, stream: np.ndarray, ends: np.ndarray, cap: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each end in the stream how many of the words before it, at most cap, occur in the text ``least`` times or more, and their suffix interval."""
+        length, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
+        for step in range(1, cap + 1):
+            live = live[ends[live] >= step]
+            c = stream[ends[live] - step]
+            a, b = (self.first[c], self.first[c + 1]) if step == 1 else self.extend(c, low[live], high[live])
+            more = b - a >= least
+            live = live[more]
             if not len(live):
                 break
-            c = self.text[ends[live] - step]
-            shift = self.first[c] - self.origin[c]
-            both = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([low[live], high[live]]))
-            low[live], high[live] = both[: len(live)] + shift, both[len(live) :] + shift
-        return low, high
+            low[live], high[live], length[live] = a[more], b[more], step
+        return length, low, high
+
+    def positions(self, at: np.ndarray) -> np.ndarray:
+        """Text positions of suffix ranks: steps back through the text until one whose position is kept."""
+        at, out, live = at.copy(), np.zeros(len(at), np.int64), np.arange(len(at))
+        steps = np.zeros(len(at), np.int64)
+        while len(live):
+            r = at[live]
+            known = (self.marks[r >> 6] >> (r & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            done = live[known]
+            out[done] = self.kept[ones_before(self.marks, self.before, at[done])] + steps[done]
+            live = live[~known]
+            c, place = self.wavelet.access(at[live])
+            at[live] = place + self.first[c] - self.origin[c]
+            steps[live] += 1
+        return out
 
     def earliest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The least text position in each suffix interval."""
-        out = np.empty(len(low), np.int64)
+        if not len(low):
+            return low
         pairs, back = np.unique(np.stack([low, high]), axis=1, return_inverse=True)
-        ends = np.minimum.reduceat(np.append(self.sa, len(self.text)), pairs.T.reshape(-1))[::2] if pairs.size else out
-        out[:] = ends[back.reshape(-1)]
-        return out
+        sizes = pairs[1] - pairs[0]
+        begin = np.cumsum(sizes) - sizes
+        ranks = np.repeat(pairs[0] - begin, sizes) + np.arange(int(sizes.sum()))
+        return np.minimum.reduceat(self.positions(ranks), begin)[back.reshape(-1)]
 
 
 def repeated_windows(rows: list[tuple[np.ndarray, int]], window: int = WINDOW) -> list[np.ndarray]:
-    """For segments in order (words, number of windows): which of their windows occur earlier among them."""
-    _, coded = np.unique(np.concatenate([w for w, _ in rows]), return_inverse=True)
-    coded = coded.reshape(-1) + 1
+    """For different segments in order (words, number of windows): which of their windows occur earlier among them."""
+    coded = np.unique(np.concatenate([w for w, _ in rows]), return_inverse=True)[1].reshape(-1) + 2
     lengths = np.array([len(w) for w, _ in rows])
+    counts = np.array([n for _, n in rows])
     starts = np.cumsum(lengths + 1) - lengths - 1
-    text = np.zeros(int((lengths + 1).sum()), np.int64)
-    for s, a, b in zip(starts, np.cumsum(lengths) - lengths, np.cumsum(lengths), strict=True):
-        text[s : s + b - a] = coded[a:b]
-    index = FMIndex(text, int(lengths.max()) + 1, window)
-    # A segment that occurs whole in an earlier place repeats all its windows. Where no other place
-    # starts alike there is nothing to seek.
-    some = np.flatnonzero(index.alike[starts] > 1)
-    whole = np.zeros(len(rows), bool)
-    low, high = index.search(starts[some] + lengths[some], lengths[some])
-    whole[some] = index.earliest(low, high) < starts[some]
-    at = np.concatenate([s + np.arange(n) for s, (_, n), w in zip(starts, rows, whole, strict=True) if not w] or [np.zeros(0, np.int64)])
+    text = np.ones(int((lengths + 1).sum()) + 1, np.int64)
+    text[-1] = 0
+    text[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(coded))] = coded
+    index = FMIndex(text)
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    length, low, high = index.matching(text, at + window, window, 2)
+    some = np.flatnonzero(length == window)
     earlier = np.zeros(len(at), bool)
-    some = np.flatnonzero(index.alike[at] > 1)
-    low, high = index.search(at[some] + window, np.full(len(some), window))
-    earlier[some] = index.earliest(low, high) < at[some]
-    out, k = [], 0
-    for (_, n), w in zip(rows, whole, strict=True):
-        out.append(np.ones(n, bool) if w else earlier[k : k + n])
-        k += 0 if w else n
-    return out
+    earlier[some] = index.earliest(low[some], high[some]) < at[some]
+    return np.split(earlier, np.cumsum(counts)[:-1])
+
+
+def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, list[int]]:
+    """The words of a batch's texts as hashes, and each text's number of words."""
+    found = [words_of(t) for t in batch.column("text").to_pylist()]
+    return word_hashes([w for words in found for w in words]), [len(words) for words in found]
+
+
+def heavy_anchors(docs: DataFrame, window: int) -> DataFrame:
+    """(anchor): at most HEAVY, among them all that hold over 2/HEAVY of the segments.
+
+    An anchor can't be over a share of the whole without being over it in some block, so blocks report
+    what is over 1/HEAVY of theirs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def block() -> pa.RecordBatch:
+            anchor, n = np.unique(np.concatenate(held), return_counts=True)
+            total = int(n.sum())
+            some = n * HEAVY > total
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([None, *anchor[some].tolist()], pa.int64()), pa.array([total, *n[some].tolist()], pa.int64())], ["anchor", "n"])
+
+        for batch in sized_slices(batches, "text"):
+            held.append(segments(*_hashed(batch), window)[0])
+            if sum(map(len, held)) >= BLOCK:
+                yield block()
+        if held:
+            yield block()
+
+    found = stored(docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = found.where("anchor IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return found.where(F.col("anchor").isNotNull() & (F.col("n") * HEAVY > total)).select("anchor", F.lit(True).alias("heavy"))
 
 
 def _segment_rows(docs: DataFrame, window: int) -> DataFrame:
     """(anchor, content, doc_id, row, start, n) of every segment: content hashes its words, row is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            counts = []
-            for text in batch.column("text").to_pylist():
-                w = word_hashes(words_of(text))
-                anchor, start, n = segments(w, window)
-                counts.append(len(anchor))
-                for c, x in zip(cols, (anchor, contents(w, start, n + (window - 1)), start, n), strict=True):
-                    c.append(x)
-            owner = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            anchor, content, start, n = (np.concatenate(c) for c in cols)
+        for batch in sized_slices(batches, "text"):
+            w, lengths = _hashed(batch)
+            anchor, start, n = segments(w, lengths, window)
+            firsts = np.cumsum(lengths) - lengths
+            of = np.searchsorted(np.cumsum(lengths), start, side="right")
+            owner = pa.array(of)
+            content = contents(w, start, n + (window - 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(content), batch.column("doc_id").take(owner), batch.column("row").take(owner), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+                [pa.array(anchor), pa.array(content), batch.column("doc_id").take(owner), batch.column("row").take(owner), pa.array((start - firsts[of] if len(of) else start).astype(np.int32)), pa.array(n.astype(np.int32))],
                 ["anchor", "content", "doc_id", "row", "start", "n"],
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(run, "anchor long, content long, doc_id long, row long, start int, n int")
 
 
-def _with_words(docs: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
-    """firsts (doc_id, row, spots of (anchor, start, n, hot)) -> (route, doc_id, row, start, n, words)."""
-    want = firsts.select(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"), "spots")
+def place() -> Column:
+    """What orders occurrences; equal rows are one document and have equal places."""
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "start")
+
+
+def firsts_of(rows: DataFrame, key: list[str], label: str) -> tuple[DataFrame, int]:
+    """Each key with its first place and how often it is met (stored), and all rows' number."""
+    firsts = stored(rows.groupBy(*key).agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("times")), label)
+    return firsts, firsts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+
+
+def later_ones(rows: DataFrame, key: list[str], firsts: DataFrame, total: int) -> DataFrame:
+    """(doc_id, row, start, n) of the rows that aren't the first of their key."""
+    met = keyed_join(rows, firsts.where("times > 1").select(*key, "times", F.col("first").alias("f")), key, "times", total)
+    return met.where(place() != F.col("f")).select("doc_id", "row", "start", "n")
+
+
+def _with_words(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
+    """asked (doc_id, row, spots of (anchor, start, n, hot)) -> (route, other, doc_id, row, start, n, words).
+
+    A hot spot becomes a row for each window, its route and other a 128-bit hash of the words; the others carry their words.
+    """
+    want = asked.select(F.col("doc_id").alias("w_id"), F.col("row").alias("w_row"), "spots")
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    met = rows.join(want, F.col("doc_id").eqNullSafe(F.col("w_id")) & F.col("row").eqNullSafe(F.col("w_row"))).select("doc_id", "row", "text", "spots")
+    met = rows.hint("merge").join(want, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))).select("doc_id", "row", "text", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
+        for batch in slices(unrepeated(batches, ["doc_id", "row"]), 64):
             out: list[tuple] = []
             for doc, row, text, spots in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "spots")), strict=True):
-                w = word_hashes(words_of(text))
-                seen = set()
+                w = word_hashes(words_of(text)).tobytes()
                 for s in spots:
-                    if s["start"] in seen:  # repeated rows ask twice
-                        continue
-                    seen.add(s["start"])
+                    a, n = s["start"], s["n"]
                     if s["hot"]:
-                        for i in range(s["start"], s["start"] + s["n"]):
-                            part = w[i : i + window].tobytes()
-                            out.append((xxhash.xxh3_64_intdigest(part) - (1 << 63), doc, row, i, 1, part))
+                        for i in range(a, a + n):
+                            h = xxhash.xxh3_128_intdigest(w[8 * i : 8 * (i + window)])
+                            out.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), doc, row, i, 1, None))
                     else:
-                        out.append((s["anchor"], doc, row, s["start"], s["n"], w[s["start"] : s["start"] + s["n"] + window - 1].tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["route", "doc_id", "row", "start", "n", "words"])
+                        out.append((s["anchor"], 0, doc, row, a, n, w[8 * a : 8 * (a + n + window - 1)]))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["route", "other", "doc_id", "row", "start", "n", "words"])
 
-    return met.mapInArrow(run, "route long, doc_id long, row long, start int, n int, words binary")
+    return met.mapInArrow(run, "route long, other long, doc_id long, row long, start int, n int, words binary")
 
 
 def _search_shards(rows: DataFrame, shards: int, window: int) -> DataFrame:
@@ -279,9 +368,10 @@ def _search_shards(rows: DataFrame, shards: int, window: int) -> DataFrame:
         def answer() -> pa.RecordBatch:
             flags = repeated_windows([(np.frombuffer(h[4], np.uint64), h[3]) for h in held], window) if held else []
             out = []
-            for (doc, row, start, n, _), f in zip(held, flags, strict=True):
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
-                out += [(doc, row, start + int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            for (doc, row, start, _, _), f in zip(held, flags, strict=True):
+                if f.any():
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
+                    out += [(doc, row, start + int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
             cols = list(zip(*out, strict=True)) or [[]] * 4
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "row", "start", "n"])
@@ -291,48 +381,42 @@ def _search_shards(rows: DataFrame, shards: int, window: int) -> DataFrame:
                 if r[0] != at:
                     yield answer()
                     at, held = r[0], []
-                held.append(r[1:])
+                if not held or held[-1][:3] != r[1:4]:  # what an equal row asked again is no other occurrence
+                    held.append(r[1:])
         yield answer()
 
-    return dealt.mapInArrow(run, "doc_id long, row long, start int, n int")
+    return dealt.select("shard", "doc_id", "row", "start", "n", "words").mapInArrow(run, "doc_id long, row long, start int, n int")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, spans): for each document the runs of windows (start, n) that occur earlier."""
-    every = stored(_segment_rows(docs, window), "every_segment")
-    often = stored(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "anchors")
-    total = often.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    line = max(1, total // HEAVY)
-    # Anchors met on over 1/HEAVY of the segments are dealt over salts; there are at most HEAVY of them.
-    salts = F.ceil(F.col("times") / line).cast("int")
-    heavy = often.where(F.col("times") > line).select("anchor", salts.alias("salts"))
-    wanted = often.withColumn("salts", F.when(F.col("times") > line, salts).otherwise(1)).select("anchor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rows = every.join(F.broadcast(heavy), "anchor", "left")
-    rows = rows.withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("row", "start"), "salts")).otherwise(0).cast("int")).drop("salts")
-    named = stored(rows.join(wanted, ["anchor", "salt"]).drop("salt"), "segments")
-    # The first of each content stands for all; the others repeat it whole.
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row", "start")
-    firsts = stored(named.groupBy("anchor", "content", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")), "contents")
-    size = firsts.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n") + window), F.lit(0)).alias("words")).first()
-    line = max(1, size["rows"] // HEAVY)
-    flat = firsts.select("anchor", "content", "n", "times", F.col("first").alias("f"))
-    often_met = flat.where((F.col("times") > 1) & (F.col("times") > line))
-    met_some = flat.where((F.col("times") > 1) & (F.col("times") <= line))
+    """(doc_id, row, spans), stored: for each document the runs of windows (start, n) that occur earlier."""
+    every = _segment_rows(docs, window).join(F.broadcast(heavy_anchors(docs, window)), "anchor", "left")
+    salted = every.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(SALTS))).otherwise(0).cast("int"))
+    met = salted.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("anchor", "salt")))
+    named = stored(met.where(F.col("heavy") | (F.col("met") > 1)).select("anchor", "content", "doc_id", "row", "start", "n"), "segments")
     key = ["anchor", "content", "n"]
-    rest = named.join(F.broadcast(often_met.select(key)), key, "left_anti")  # heavy rows are never dealt by their key
-    copies = named.join(F.broadcast(often_met), key).unionByName(rest.join(met_some, key)).where(~(place == F.col("f"))).select("doc_id", "row", "start", "n")
-    crowded = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("anchor", F.lit(True).alias("crowd"))
-    marked = firsts.join(crowded, "anchor", "left").select("anchor", "n", "first.*", F.coalesce("crowd", F.lit(False)).alias("hot"))
-    asked = marked.groupBy("doc_id", "row").agg(F.collect_list(F.struct("anchor", "start", "n", "hot")).alias("spots"))
-    worded = _with_words(docs, asked, window)
+    firsts, total = firsts_of(named, key, "contents")
+    size = firsts.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("n") + window), F.lit(0)).alias("words")).first()
+    crowded = stored(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT), "crowded")
+    in_crowd = keyed_join(firsts, crowded, "anchor", "k", size["rows"]).select(*key, "first", F.lit(True).alias("hot"))
+    line = max(1, size["rows"] // HEAVY)
+    few = firsts.join(F.broadcast(crowded.where(F.col("k") > line).select("anchor")), "anchor", "left_anti")
+    few = few.join(crowded.where(F.col("k") <= line).select("anchor").hint("merge"), "anchor", "left_anti").select(*key, "first", F.lit(False).alias("hot"))
+    asked = few.unionByName(in_crowd).groupBy("first.doc_id", "first.row").agg(F.collect_list(F.struct("anchor", "first.start", "n", "hot")).alias("spots"))
+    worded = stored(_with_words(docs, asked, window), "worded")
+    singles = worded.where("words IS NULL").select("route", "other", "doc_id", "row", "start", "n")
+    first_singles, n_singles = firsts_of(singles, ["route", "other"], "windows")
     shards = max(slots(docs.sparkSession), int(size["words"] // SHARD) + 1)
-    found = _search_shards(worded, shards, window)
-    return copies.unionByName(found).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    found = _search_shards(worded.where("words IS NOT NULL"), shards, window)
+    found = found.unionByName(later_ones(named, key, firsts, total)).unionByName(later_ones(singles, ["route", "other"], first_singles, n_singles))
+    out = stored(found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "repeats")
+    forget(named, firsts, crowded, worded, first_singles)
+    return out
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text, n_words, n_removed): every row of docs with the words that stay, joined by one space."""
-    spans = stored(repeats(docs, window), "repeats").select(F.col("doc_id").alias("s_id"), F.col("row").alias("s_row"), "spans")
+    spans = repeats(docs, window).select(F.col("doc_id").alias("s_id"), F.col("row").alias("s_row"), "spans")
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     met = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("row") == F.col("s_row")), "left").select("doc_id", "text", "spans")
 

@@ -337,16 +337,54 @@ def test_substring_dedup_without_rows(none):
     assert substring_dedup.substring_dedup(none).collect() == []
 
 
+@pytest.mark.parametrize("hot", [1, 2_000])
+def test_substring_dedup_of_repeated_rows_alone(monkeypatch, spark, hot):
+    """Equal rows are one document: none loses its text to the other. A doc_id's different texts are documents in order of their hashes."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rng = random.Random(7)
+    a, b, c = (" ".join(words(rng, 30)) for _ in range(3))
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, "three words only"), (4, f"{c} {a}"), (5, c), (5, f"x {c}"), (5, c)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = bag((r.doc_id, r.n_words, r.n_removed, r.text) for r in substring_dedup.substring_dedup(frame).collect())
+    want = [(1, 30, 0, a), (1, 30, 0, a), (None, 30, 0, b), (None, 30, 0, b), (2, 3, 0, "three words only"), (4, 60, 30, c)]
+    want += [(5, 30, 30, ""), (5, 30, 30, ""), (5, 31, 30, "x")]
+    assert got == bag(want)
+
+
+def test_substring_dedup_of_very_long_texts(spark):
+    rng = random.Random(8)
+    body = words(rng, 120_000)
+    rows = [(1, " ".join(body)), (2, " ".join([*words(rng, 30), *body[70_000:70_050], *words(rng, 30)])), (3, " ".join(body[100:50_000]))]
+    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert bag((r.doc_id, r.n_words, r.n_removed, r.text) for r in out) == bag(brute_repeats(rows))
+
+
+def test_heavy_anchors_are_salted(monkeypatch, docs, rows):
+    monkeypatch.setattr(substring_dedup, "HEAVY", 3)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 50)
+    out = substring_dedup.substring_dedup(docs).collect()
+    assert bag((r.doc_id, r.n_words, r.n_removed, r.text) for r in out) == bag(brute_repeats(rows))
+
+
 def test_backward_search_counts_and_finds_the_first():
     rng = np.random.default_rng(0)
     text = np.append(rng.integers(1, 4, 300), 0)
-    index = substring_dedup.FMIndex(text, 12)
+    index = substring_dedup.FMIndex(text)
     for _ in range(200):
         n = int(rng.integers(1, 12))
         end = int(rng.integers(n, 300))
-        low, high = index.search(np.array([end]), np.array([n]))
+        length, low, high = index.matching(text, np.array([end]), n)
         places = [i for i in range(301 - n) if (text[i : i + n] == text[end - n : end]).all()]
-        assert high[0] - low[0] == len(places) and index.earliest(low, high)[0] == places[0]
+        assert length[0] == n and high[0] - low[0] == len(places) and index.earliest(low, high)[0] == places[0]
+        assert sorted(index.positions(np.arange(low[0], high[0]))) == places
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(1)
+    text, stream = np.append(rng.integers(1, 5, 200), 0), rng.integers(1, 5, 300)
+    length, _, _ = substring_dedup.FMIndex(text).matching(stream, np.arange(1, 301), 9)
+    held = {tuple(text[i : i + n]) for n in range(1, 10) for i in range(200 - n + 1)}
+    assert [int(x) for x in length] == [max((n for n in range(1, min(9, e) + 1) if tuple(stream[e - n : e]) in held), default=0) for e in range(1, 301)]
 
 
 # 6
