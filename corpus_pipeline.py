@@ -3,12 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read as the next stage's documents. All but the last return the
 columns of ``documents``; ``n_chars`` follows the text.
+
+Defined results, for every stage: rows are told apart by doc_id and the text's hash, so null and repeated ids
+harm no other row; a null text is an empty one (language ID rejects it, as it does every text without letters); very long
+texts are taken whole; of copies and ties the row with the least (doc_id, text hash) stays;
+an empty table gives an empty one; extra columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlake.llm.common import stored, table
@@ -25,9 +30,9 @@ VOCABULARY = "word_bpe_49k.json"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language no evidence supports go."""
-    gone = identify(docs).where(~F.col("accepted")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    gone = identify(docs).where(~F.col("accepted")).select(F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash")).distinct()
     gone = stored(gone, "rejected")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti").select(COLUMNS)
+    return docs.join(gone, at(gone), "left_anti").select(COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +41,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+def at(marks: DataFrame) -> Column:
+    """Whether a row of docs is the one that marks (at_id, at_hash) name."""
+    return F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.xxhash64("text") == F.col("at_hash"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least (doc_id, text hash), a null id last."""
+    """One document of each group of near copies stays: the one with the least (doc_id, text hash), a null id last, and once if its row repeats."""
     judged = stored(one_of_each(stored(near_duplicates(docs), "classes")), "judged")
-    gone = judged.where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    gone = stored(gone, "copies_gone")
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_hash")), "left_anti").select(COLUMNS)
-    again = judged.where("stays").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if again else kept
+    rows = judged.groupBy(F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash")).agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    marks = stored(rows.where(~F.col("stays") | (F.col("n") > 1)), "copies_gone")
+    repeated = docs.join(marks.where("stays"), at(marks), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(marks, at(marks), "left_anti").select(COLUMNS).unionByName(repeated.select(COLUMNS))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

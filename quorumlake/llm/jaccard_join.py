@@ -1,20 +1,26 @@
 """N-gram Jaccard join by chosen paths.
 
-A document is the set of its five-word shingles. In each of ``RUNS`` runs a set
+A document is the set of its five-word shingles. In each run a set
 chooses a few of its shingles by hashes that all sets share, so that similar sets choose
 common ones; sets that chose the same shingle meet in a bucket. Buckets of up to
-``SMALL`` are brute-forced, larger ones are split again by the next level's choices, to
-``DEPTH`` levels, and whatever is still large is brute-forced in blocks. A pair at the
-threshold meets in a first-level bucket of a run with probability over 0.63, so
-``RUNS`` runs miss it with a chance under 1e-10 (``recall_of``); pairs
-that only meet deeper are missed more often, at worst about (1 - 0.63 ** DEPTH) ** RUNS.
+``SMALL`` are brute-forced by signature, larger ones are split again by the next level's choices, to
+``DEPTH`` levels, and whatever is still large is brute-forced in blocks.
+
+A large bucket first meets its representative (drawn by hash, another one in each bucket): members whose
+signatures loosely agree with it are linked to it, and those that agree with it in ``STRONG`` places or more go no
+deeper. What is similar to such a member is itself near enough to the representative to be linked
+there: distances add up. So a group of near copies doesn't descend all levels in all runs.
+
+Runs come in rounds of ``RUNS``. After each round but the first the share of its links whose ends were connected
+before is the estimate of the recall so far; rounds are repeated until it is ``TARGET`` or more. A pair at the threshold
+meets in a first-level bucket of a run with probability over 0.63 (``recall_of``), of a round with over 0.9996.
 
 1. One pass makes each text's set key (128 bits), choices and a one-byte MinHash
    signature; the small result is stored. Texts with equal sets are one vertex from here on.
 2. Buckets link sets whose signatures could belong to similar sets; the links'
    connected components are found by repeated minima with tables written between rounds.
 3. Within each component every pair of sets is compared exactly in blocks of at most
-   ``BLOCK`` sets: links are counted, never emitted pair by pair; what leaves a
+   ``BLOCK`` sets and ``BLOCK_TOKENS`` shingles: links are counted, never emitted pair by pair; what leaves a
    block are counts and a spanning link for each set.
 4. Connected components of those exact links are the classes.
 
@@ -24,7 +30,8 @@ dealt out as pairs of blocks.
 
 Defined results: a null text is empty; texts without words are copies of each
 other; a text of one to four words is one shingle; a class is named by its least
-doc_id that isn't null; repeated rows count as copies; extra columns are ignored.
+doc_id that isn't null; a null doc_id is passed through; repeated rows count as copies; very long texts are taken
+whole; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,25 +44,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import slices, slots, stored
+from quorumlake.llm.common import forget, keyed_join, slices, slots, stored, unrepeated
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RUNS = 24
+#: Runs in a round, levels of a run, and the share of a round's links that earlier rounds must have connected.
+RUNS = 8
 DEPTH = 4
+TARGET = 0.999
 SMALL = 64
-BLOCK = 512
+BLOCK, BLOCK_TOKENS = 2_048, 1 << 22
 SIGNATURE = 64
 #: Signature places in which two sets must agree to be linked: 5 deviations under what the threshold leads to expect.
 AGREE = 35
-HEAVY = 5_000
+#: Places from which a set is settled by a representative: about a similarity of 0.75.
+STRONG = 48
+#: Rounds whose choices the first pass over the texts makes.
+FIRST_ROUNDS = 2
 
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
-_MIX = _RNG.integers(1, 1 << 63, (RUNS, DEPTH), dtype=np.uint64) | np.uint64(1)
 _COMBINE = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
+def mixers(round_: int) -> np.ndarray:
+    """The multipliers by which the runs of a round choose, a row for each run, a column for each level."""
+    return np.random.default_rng([20, round_]).integers(1, 1 << 63, (RUNS, DEPTH), dtype=np.uint64) | np.uint64(1)
+
+
 def recall_of(similarity: float, runs: int = RUNS, depth: int = 1, threshold: float = THRESHOLD) -> float:
     """Chance that sets of equal size meet in a bucket at a level of some run."""
     shared = 2 * similarity / (1 + similarity)
@@ -90,19 +106,21 @@ def set_key(tokens: np.ndarray) -> bytes:
 _AT_ONCE = 1 << 20
 
 
-def choices(tokens: np.ndarray, threshold: float = THRESHOLD) -> list[bytes]:
+def choices(tokens: np.ndarray, mix: np.ndarray, threshold: float = THRESHOLD) -> list[bytes]:
     """For each level the tokens that each run chooses, those whose hash is under 1 / (threshold * size).
 
-    A level is RUNS count bytes and then the chosen tokens' low 32 bits: shorter tokens can only make
+    A level is a count byte for each run and then the chosen tokens' low 32 bits: shorter tokens can only make
     buckets larger, never part them, and what meets is compared exactly.
     """
-    bar = np.uint64(min(2.0**64 - 2048, 2.0**64 / (threshold * max(1, len(tokens)))))
-    step = max(1, _AT_ONCE // max(1, len(tokens)))
+    if not len(tokens):
+        return [bytes(len(mix))] * DEPTH
+    bar = np.uint64(min(2.0**64 - 2048, 2.0**64 / (threshold * len(tokens))))
+    step = max(1, _AT_ONCE // len(tokens))
     out = []
     for level in range(DEPTH):
-        counts, held = np.zeros(RUNS, np.uint8), []
-        for at in range(0, RUNS, step):
-            run, token = np.nonzero(tokens[None, :] * _MIX[at : at + step, level, None] < bar)
+        counts, held = np.zeros(len(mix), np.uint8), []
+        for at in range(0, len(mix), step):
+            run, token = np.nonzero(tokens[None, :] * mix[at : at + step, level, None] < bar)
             counts[at : at + step] = np.bincount(run, minlength=len(counts[at : at + step]))
             held.append(tokens[token].astype(np.uint32))
         out.append(counts.tobytes() + np.concatenate(held).tobytes())
@@ -120,52 +138,63 @@ def signature(tokens: np.ndarray) -> bytes:
     return (_mixed(least) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-_LEVELS = [f"c{i}" for i in range(DEPTH)]
+def levels(round_: int) -> list[str]:
+    """The columns that hold a round's choices."""
+    return [f"r{round_}c{level}" for level in range(DEPTH)]
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, sid, words, sig, c0...) of every row: its set's key, whether it has shingles, signature and choices by level."""
+def sets_of(docs: DataFrame, rounds: int = FIRST_ROUNDS) -> DataFrame:
+    """(doc_id, text_hash, sid, size, sig, r0c0...) of every row: its set's key, how many shingles it has, signature and choices by round and level."""
+    names, mixes = [c for r in range(rounds) for c in levels(r)], [mixers(r) for r in range(rounds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for text in batch.column(2).to_pylist():
                 tokens = shingle_set(text)
-                rows.append((set_key(tokens), len(tokens) > 0, signature(tokens), *(choices(tokens) if len(tokens) else [bytes(RUNS)] * DEPTH)))
-            cols = list(zip(*rows, strict=True)) or [[]] * (3 + DEPTH)
-            types = [pa.binary(), pa.bool_(), *[pa.binary()] * (1 + DEPTH)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], ["doc_id", "text_hash", "sid", "words", "sig", *_LEVELS])
+                rows.append((set_key(tokens), len(tokens), signature(tokens), *(c for m in mixes for c in choices(tokens, m))))
+            cols = list(zip(*rows, strict=True)) or [[]] * (3 + len(names))
+            types = [pa.binary(), pa.int32(), *[pa.binary()] * (1 + len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], ["doc_id", "text_hash", "sid", "size", "sig", *names])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, sid binary, words boolean, sig binary, " + ", ".join(f"{c} binary" for c in _LEVELS))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, sid binary, size int, sig binary, " + ", ".join(f"{c} binary" for c in names))
 
 
-def keyed_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """Inner join with right (one row a key, with how many of left's rows it has): heavy keys by broadcast, the rest by key.
+def with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """wanted (at_id, at_hash, ...) with the text of the row of docs with that doc_id and text hash."""
+    texts = docs.select(F.col("doc_id").alias("t_id"), F.xxhash64("text").alias("t_hash"), "text")
+    return texts.hint("merge").join(wanted, F.col("t_id").eqNullSafe(F.col("at_id")) & (F.col("t_hash") == F.col("at_hash"))).drop("t_id", "t_hash")
 
-    The rest is always merged, so that the plan is the same at every size.
-    """
-    line = max(1, total // HEAVY)
-    heavy, light = right.where(F.col(weight) > line), right.where(F.col(weight) <= line)
-    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti")  # heavy rows are never dealt by their key
-    return left.join(F.broadcast(heavy), key).unionByName(rest.join(light.hint("merge"), key))
 
+def round_choices(distinct: DataFrame, docs: DataFrame, round_: int) -> DataFrame:
+    """(sid, sig, the round's choices): made anew from a text of each set."""
+    mix = mixers(round_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(unrepeated(batches, ["sid"])):
+            made = list(zip(*(choices(shingle_set(t), mix) for t in batch.column("text").to_pylist()), strict=True)) or [[]] * DEPTH
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("sig"), *(pa.array(list(c), pa.binary()) for c in made)], ["sid", "sig", *levels(round_)])
+
+    rows = with_texts(distinct.select("sid", "sig", "at_id", "at_hash"), docs).select("sid", "sig", "text")
+    return rows.mapInArrow(run, "sid binary, sig binary, " + ", ".join(f"{c} binary" for c in levels(round_)))
 
-def _nodes(rows: DataFrame, level: int) -> DataFrame:
-    """rows (sid, c<level>[, at: array of (run, node)]) -> (sid, run, node) one level down: a row for each token chosen there.
+
+def _nodes(rows: DataFrame, name: str) -> DataFrame:
+    """rows (sid, choices in the column name[, at: array of (run, node)]) -> (sid, run, node) one level down: a row for each token chosen there.
 
     Without ``at`` every run starts from node 0.
     """
-    name, top = _LEVELS[level], "at" not in rows.columns
+    top, in_round = "at" not in rows.columns, RUNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             owner, runs, nodes = [], [], []
             where = [None] * batch.num_rows if top else batch.column("at").to_pylist()
             for i, (chosen, at) in enumerate(zip(batch.column(name).to_pylist(), where, strict=True)):
-                counts = np.frombuffer(chosen[:RUNS], np.uint8).astype(np.int64)
-                tokens = np.frombuffer(chosen[RUNS:], np.uint32).astype(np.uint64)
+                counts = np.frombuffer(chosen[:in_round], np.uint8).astype(np.int64)
+                tokens = np.frombuffer(chosen[in_round:], np.uint32).astype(np.uint64)
                 if top:
-                    r, n, t = np.repeat(np.arange(RUNS), counts), np.zeros(len(tokens), np.uint64), tokens
+                    r, n, t = np.repeat(np.arange(in_round), counts), np.zeros(len(tokens), np.uint64), tokens
                 else:
                     ends = np.cumsum(counts)
                     r = np.repeat(np.array([a["run"] for a in at]), counts[[a["run"] for a in at]])
@@ -181,32 +210,83 @@ def _nodes(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("sid", name, *([] if top else ["at"])).mapInArrow(run, "sid binary, run int, node long")
 
 
-def bucket_links(sets: DataFrame) -> DataFrame:
-    """(a, b): links between sets that met in a bucket and whose signatures agree; a spanning set of each bucket's."""
-    distinct = stored(sets.where("words").select("sid", "sig", *_LEVELS).dropDuplicates(["sid"]), "distinct")
-    rows, leaves = distinct, None
-    for level in range(DEPTH):
-        met = _nodes(rows, level)
-        counts = stored(met.groupBy("run", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+def _agreement(rows: DataFrame) -> DataFrame:
+    """rows (sid, run, node, n, sig, rep, rep_sig) -> (sid, run, node, n, rep, agree): in how many places the signatures agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for c in ("sig", "rep_sig"))
+            agree = pa.array((a == b).sum(1).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sid", "run", "node", "n", "rep")), agree], ["sid", "run", "node", "n", "rep", "agree"])
+
+    return rows.select("sid", "run", "node", "n", "sig", "rep", "rep_sig").mapInArrow(run, "sid binary, run int, node long, n long, rep binary, agree int")
+
+
+def bucket_links(distinct: DataFrame, round_: int) -> DataFrame:
+    """(a, b), stored: links between sets that met in a bucket of the round's runs and whose signatures agree; a spanning set of each bucket's.
+
+    distinct: a row for each set with sid, sig and the round's choices.
+    """
+    sigs, rows, leaves, links, used = distinct.select("sid", "sig"), distinct, None, None, []
+    for level, name in enumerate(levels(round_)):
+        met = _nodes(rows, name)
+        drawn = F.xxhash64("node", "sid")
+        counts = stored(met.groupBy("run", "node").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("least")).where("n > 1"), "buckets")
         large = F.col("n") > SMALL
         size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(large, F.col("n"))), F.lit(0)).alias("large")).first()
-        last = level == DEPTH - 1 or not size["large"]
         kept = stored(keyed_join(met.select("sid", "node"), counts, "node", "n", size["all"]), "met")
-        ready = kept if last else kept.where(~large)
-        leaves = ready.select("sid", "node", "n") if leaves is None else leaves.unionByName(ready.select("sid", "node", "n"))
-        if last:
+        used += [counts, kept]
+        ready = kept.where(~large).select("sid", "node", "n")
+        leaves = ready if leaves is None else leaves.unionByName(ready)
+        if not size["large"]:
             break
-        # What is split further meets its next choices once for each set: only that level's, only a row a set.
-        spots = kept.where(large).groupBy("sid").agg(F.collect_list(F.struct("run", "node")).alias("at"))
-        rows = stored(spots.hint("merge").join(distinct.select("sid", _LEVELS[level + 1]), "sid"), "frontier")
-    return _grouped(leaves.hint("merge").join(distinct.select("sid", "sig"), "sid"), "node", _signature_links, "a binary, b binary", ["sid", "sig"]).distinct()
+        heads = kept.where(large & (drawn == F.col("least"))).select("node", "n", "sid").dropDuplicates(["node"])
+        heads = stored(heads.join(sigs, "sid").select("node", "n", F.col("sid").alias("rep"), F.col("sig").alias("rep_sig")), "heads")
+        others = keyed_join(kept.where(large).select("sid", "run", "node"), heads, "node", "n", size["large"])
+        seen = stored(_agreement(others.hint("merge").join(sigs, "sid")), "seen")
+        used += [heads, seen]
+        near = seen.where((F.col("agree") >= AGREE) & (F.col("sid") != F.col("rep"))).select(F.col("sid").alias("a"), F.col("rep").alias("b"))
+        links = near if links is None else links.unionByName(near)
+        open_ = seen.where(F.col("agree") < STRONG)
+        if level == DEPTH - 1:
+            leaves = leaves.unionByName(open_.select("sid", "node", "n"))
+        else:
+            # What is split further meets its next choices once for each set: only that level's, only a row a set.
+            spots = open_.groupBy("sid").agg(F.collect_list(F.struct("run", "node")).alias("at"))
+            rows = stored(spots.hint("merge").join(distinct.select("sid", levels(round_)[level + 1]), "sid"), "frontier")
+            used.append(rows)
+    leaves = leaves.withColumn("parts", F.ceil(F.col("n") / (4 * 512)).cast("int"))
+    found = _grouped(leaves.hint("merge").join(sigs, "sid"), "node", _signature_links, "a binary, b binary", ["sid", "sig"])
+    out = stored((found if links is None else found.unionByName(links)).distinct(), "links")
+    forget(*used)
+    return out
 
 
-def _grouped(rows: DataFrame, key: str, work, schema: str, columns: list[str], block: int = 4 * BLOCK) -> DataFrame:
-    """work(first block's rows, second block's or None) on each group of rows (key, n, columns), large groups as pairs of blocks."""
-    parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64(columns[0]), parts).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("own", F.when(F.col("parts") > 1, own).otherwise(0))
+def linked_sets(distinct: DataFrame, docs: DataFrame, target: float = TARGET) -> tuple[DataFrame, float]:
+    """(sid, comp) of the sets that some round linked, and the recall reached: rounds are repeated until a round's links were connected before to a share of target."""
+    round_, recall = 0, 0.0
+    labels = components(bucket_links(distinct, 0))
+    while recall < target:
+        round_ += 1
+        rows = distinct if round_ < FIRST_ROUNDS else stored(round_choices(distinct, docs, round_), "choices")
+        more = bucket_links(rows, round_)
+        total = more.count()
+        tops = more.groupBy("b").agg(F.count(F.lit(1)).alias("k")).join(labels.select(F.col("sid").alias("b"), F.col("comp").alias("known")), "b", "left")
+        tops = stored(tops.select("b", "k", F.coalesce("known", "b").alias("comp_b")), "tops")
+        ends = keyed_join(more, tops, "b", "k", total).join(labels.select(F.col("sid").alias("a"), F.col("comp").alias("comp_a")), "a", "left")
+        fresh = stored(ends.select(F.coalesce("comp_a", "a").alias("a"), F.col("comp_b").alias("b")).where("a != b").distinct(), "fresh")
+        n = fresh.count()
+        recall = 1 - n / total if total else 1.0
+        if n:
+            labels = components(labels.select(F.col("sid").alias("a"), F.col("comp").alias("b")).unionByName(fresh))
+        forget(more, tops, fresh, rows if round_ >= FIRST_ROUNDS else None)
+    return labels, recall
+
+
+def _grouped(rows: DataFrame, key: str, work, schema: str, columns: list[str]) -> DataFrame:
+    """work(first block's rows, second block's or None) on each group of rows (key, parts, columns), groups of several parts as pairs of blocks."""
+    own = F.pmod(F.xxhash64(columns[0]), "parts").cast("int")
+    rows = rows.withColumn("own", F.when(F.col("parts") > 1, own).otherwise(0))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("i"), F.greatest(p, F.col("own")).alias("j")))
     rows = rows.withColumn("pair", F.explode(pair)).select(key, "pair.i", "pair.j", "own", *columns)
     n = max(slots(rows.sparkSession), 1)
@@ -295,16 +375,17 @@ def components(links: DataFrame) -> DataFrame:
     labels = stored(links.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("least")).select("sid", F.least("sid", "least").alias("comp")), "labels")
     while total:
         weighed = labels.join(degrees.withColumnRenamed("a", "sid"), "sid")
-        near = keyed_join(links.withColumnRenamed("a", "sid"), weighed, "sid", "deg", total).groupBy(F.col("b").alias("sid")).agg(F.min("comp").alias("near"))
+        near = keyed_join(links.withColumnRenamed("a", "sid"), weighed.select("sid", "comp", "deg"), "sid", "deg", total).groupBy(F.col("b").alias("sid")).agg(F.min("comp").alias("near"))
         stepped = labels.join(near, "sid").select("sid", F.least("comp", "near").alias("mid"), F.col("comp").alias("was"))
-        stepped = stored(stepped, "stepped")
+        stepped, old = stored(stepped, "stepped"), labels
         sizes = stepped.groupBy("mid").agg(F.count(F.lit(1)).alias("deg")).join(stepped.select(F.col("sid").alias("mid"), F.col("mid").alias("up")), "mid", "left")
         after = keyed_join(stepped, sizes, "mid", "deg", total)
         labels = stored(after.select("sid", F.least("mid", F.coalesce("up", "mid")).alias("comp"), "was"), "labels")
         moved = labels.where(F.col("comp") != F.col("was")).limit(1).count()
-        labels = labels.drop("was")
+        forget(old, stepped)
         if not moved:
             break
+    forget(links, degrees)
     return labels
 
 
@@ -315,19 +396,30 @@ def _dense_overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         shared = tokens[often > 1]
     else:
         shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        every = np.concatenate(sets)
+        at = np.searchsorted(shared, every)
+        at[at == len(shared)] = 0
+        here = shared[at] == every if len(shared) else np.zeros(len(every), bool)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[here]
+        order = np.argsort(at[here], kind="stable")
+        at = at[here][order]
+        return at, owner[order], np.searchsorted(at, np.arange(0, len(shared) + 4096, 4096))
+
     out = np.zeros((len(a), len(b)), np.float32)
-    for at in range(0, len(shared), 4096):
-        part = shared[at : at + 4096]
-
-        def rows(sets: list[np.ndarray], part: np.ndarray = part) -> np.ndarray:
-            m = np.zeros((len(sets), len(part)), np.float32)
-            for i, s in enumerate(sets):
-                k = np.searchsorted(part, s)
-                k[k == len(part)] = 0
-                m[i, k[part[k] == s]] = 1
-            return m
-
-        out += rows(a) @ rows(b).T
+    pa_ = places(a)
+    pb_ = pa_ if a is b else places(b)
+
+    def part(p: tuple, n: int, k: int) -> np.ndarray:
+        m = np.zeros((n, min(4096, len(shared) - 4096 * k)), np.float32)
+        rows = slice(p[2][k], p[2][k + 1])
+        m[p[1][rows], p[0][rows] - 4096 * k] = 1
+        return m
+
+    for k in range(-(-len(shared) // 4096)):
+        first = part(pa_, len(a), k)
+        out += first @ (first if a is b else part(pb_, len(b), k)).T
     return out
 
 
@@ -364,24 +456,29 @@ def _exact_links(first: list[tuple], second: list[tuple] | None) -> list[tuple]:
     return [(k, keys[tree.top(i)], int(counts[i])) for i, k in enumerate(keys) if counts[i]]
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, target: float = TARGET) -> DataFrame:
     """(doc_id, class_id, class_size, n_links, comp, text_hash) of every row of docs.
 
     Links join rows with a Jaccard similarity of THRESHOLD or more, copies included; classes are
     their connected components; class_id is a class's least doc_id, comp names it where that is null too.
     """
     sets = stored(sets_of(docs), "sets")
-    copies = stored(sets.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")), "copies")
-    labels = components(bucket_links(sets))
-    sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    members = stored(keyed_join(labels, sizes, "comp", "n", copies.count()).join(copies, "sid"), "members")
-    texts = docs.select(F.col("doc_id").alias("first_id"), "text")
-    withtext = members.hint("merge").withColumnRenamed("first_id", "want").join(texts, F.col("want").eqNullSafe(F.col("first_id")))
-    exact = stored(_grouped(withtext, "comp", _exact_links, "sid binary, other binary, links long", ["sid", "copies", "text"], BLOCK), "exact")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    copies = sets.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.min(row).alias("at"), F.max("size").alias("size"))
+    copies = stored(copies.select("sid", "copies", "first_id", "size", F.col("at.doc_id").alias("at_id"), F.col("at.text_hash").alias("at_hash")), "copies")
+    made = sets.where("size > 0").select("sid", "sig", *[c for r in range(FIRST_ROUNDS) for c in levels(r)]).dropDuplicates(["sid"])
+    distinct = stored(copies.select("sid", "at_id", "at_hash").join(made, "sid"), "distinct")
+    labels, _ = linked_sets(distinct, docs, target)
+    known = labels.join(copies.select("sid", "copies", "size", "at_id", "at_hash"), "sid")
+    sizes = known.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    members = stored(keyed_join(known, sizes.select("comp", "n", parts.alias("parts")), "comp", "n", copies.count()), "members")
+    exact = stored(_grouped(with_texts(members, docs), "comp", _exact_links, "sid binary, other binary, links long", ["sid", "copies", "text"]), "exact")
     linked = exact.groupBy("sid").agg(F.sum("links").alias("links"))
     classes = components(exact.where(F.col("sid") != F.col("other")).select(F.col("sid").alias("a"), F.col("other").alias("b")))
     info = copies.join(classes, "sid", "left").join(linked, "sid", "left").select("sid", "copies", "first_id", F.coalesce("comp", "sid").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     info = stored(info, "info")
+    forget(distinct, members, exact, labels, classes, copies)
     named = info.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("k"))
     total = info.count()
     whole = keyed_join(info.select("sid", "copies", "comp", "n_links"), named, "comp", "k", total).drop("k")
