@@ -59,6 +59,8 @@ SIGNATURE = 64
 AGREE = 35
 #: Places from which a set is settled by a representative: about a similarity of 0.75.
 STRONG = 48
+#: Places that a pair at the threshold is expected to agree in: such links are what the recall is measured on.
+EXPECTED = 51
 #: Rounds whose choices the first pass over the texts makes.
 FIRST_ROUNDS = 2
 
@@ -223,7 +225,9 @@ def _agreement(rows: DataFrame) -> DataFrame:
 
 
 def bucket_links(distinct: DataFrame, round_: int) -> DataFrame:
-    """(a, b), stored: links between sets that met in a bucket of the round's runs and whose signatures agree; a spanning set of each bucket's.
+    """(a, b, sure), stored: links between sets that met in a bucket of the round's runs and whose signatures agree; a spanning set of each bucket's.
+
+    Sure ones agree in EXPECTED places or more.
 
     distinct: a row for each set with sid, sig and the round's choices.
     """
@@ -245,7 +249,7 @@ def bucket_links(distinct: DataFrame, round_: int) -> DataFrame:
         others = keyed_join(kept.where(large).select("sid", "run", "node"), heads, "node", "n", size["large"])
         seen = stored(_agreement(others.hint("merge").join(sigs, "sid")), "seen")
         used += [heads, seen]
-        near = seen.where((F.col("agree") >= AGREE) & (F.col("sid") != F.col("rep"))).select(F.col("sid").alias("a"), F.col("rep").alias("b"))
+        near = seen.where((F.col("agree") >= AGREE) & (F.col("sid") != F.col("rep"))).select(F.col("sid").alias("a"), F.col("rep").alias("b"), (F.col("agree") >= EXPECTED).cast("long").alias("sure"))
         links = near if links is None else links.unionByName(near)
         open_ = seen.where(F.col("agree") < STRONG)
         if level == DEPTH - 1:
@@ -256,8 +260,8 @@ def bucket_links(distinct: DataFrame, round_: int) -> DataFrame:
             rows = stored(spots.hint("merge").join(distinct.select("sid", levels(round_)[level + 1]), "sid"), "frontier")
             used.append(rows)
     leaves = leaves.withColumn("parts", F.ceil(F.col("n") / (4 * 512)).cast("int"))
-    found = _grouped(leaves.hint("merge").join(sigs, "sid"), "node", _signature_links, "a binary, b binary", ["sid", "sig"])
-    out = stored((found if links is None else found.unionByName(links)).distinct(), "links")
+    found = _grouped(leaves.hint("merge").join(sigs, "sid"), "node", _signature_links, "a binary, b binary, sure long", ["sid", "sig"])
+    out = stored((found if links is None else found.unionByName(links)).groupBy("a", "b").agg(F.max("sure").alias("sure")), "links")
     forget(*used)
     return out
 
@@ -265,20 +269,28 @@ def bucket_links(distinct: DataFrame, round_: int) -> DataFrame:
 def linked_sets(distinct: DataFrame, docs: DataFrame, target: float = TARGET) -> tuple[DataFrame, float]:
     """(sid, comp) of the sets that some round linked, and the recall reached: rounds are repeated until a round's links were connected before to a share of target."""
     round_, recall = 0, 0.0
-    labels = components(bucket_links(distinct, 0))
+    first = bucket_links(distinct, 0)
+    labels = components(first)
+    forget(first)
     while recall < target:
         round_ += 1
         rows = distinct if round_ < FIRST_ROUNDS else stored(round_choices(distinct, docs, round_), "choices")
         more = bucket_links(rows, round_)
-        total = more.count()
+        size = more.agg(F.count(F.lit(1)).alias("all"), F.coalesce(F.sum("sure"), F.lit(0)).alias("sure")).first()
         tops = more.groupBy("b").agg(F.count(F.lit(1)).alias("k")).join(labels.select(F.col("sid").alias("b"), F.col("comp").alias("known")), "b", "left")
         tops = stored(tops.select("b", "k", F.coalesce("known", "b").alias("comp_b")), "tops")
-        ends = keyed_join(more, tops, "b", "k", total).join(labels.select(F.col("sid").alias("a"), F.col("comp").alias("comp_a")), "a", "left")
-        fresh = stored(ends.select(F.coalesce("comp_a", "a").alias("a"), F.col("comp_b").alias("b")).where("a != b").distinct(), "fresh")
-        n = fresh.count()
-        recall = 1 - n / total if total else 1.0
-        if n:
-            labels = components(labels.select(F.col("sid").alias("a"), F.col("comp").alias("b")).unionByName(fresh))
+        ends = keyed_join(more, tops, "b", "k", size["all"]).join(labels.select(F.col("sid").alias("a"), F.col("comp").alias("comp_a")), "a", "left")
+        fresh = stored(ends.select("sure", "b", F.col("a").alias("sid"), F.coalesce("comp_a", "a").alias("comp_a"), "comp_b").where("comp_a != comp_b"), "fresh")
+        new = fresh.agg(F.count(F.lit(1)).alias("all"), F.coalesce(F.sum("sure"), F.lit(0)).alias("sure")).first()
+        recall = 1 - new["sure"] / size["sure"] if size["sure"] else 1.0
+        if new["all"]:
+            # What was linked before moves to its component's new name; sets that no round had linked come in.
+            merged = components(fresh.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+            old, named = labels, merged.select(F.col("sid").alias("comp"), F.col("comp").alias("now"))
+            moved = labels.join(named, "comp", "left").select("sid", F.coalesce("now", "comp").alias("comp"))
+            lone = merged.join(labels, "sid", "left_anti").join(labels.select(F.col("comp").alias("sid")).distinct(), "sid", "left_anti")
+            labels = stored(moved.unionByName(lone), "labels")
+            forget(old, merged)
         forget(more, tops, fresh, rows if round_ >= FIRST_ROUNDS else None)
     return labels, recall
 
@@ -325,25 +337,31 @@ def _grouped(rows: DataFrame, key: str, work, schema: str, columns: list[str]) -
 
 
 def _signature_links(first: list[tuple], second: list[tuple] | None) -> list[tuple]:
-    """Spanning links among rows (sid, sig) whose signatures agree in AGREE places."""
+    """Spanning links among rows (sid, sig) whose signatures agree in AGREE places, and whether in EXPECTED: those come first."""
     rows = sorted(set(first)) if second is None else sorted(set(first)) + sorted(set(second))
     if len(rows) < 2:
         return []
     sig = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, SIGNATURE)
-    tree = Union(len(rows))
+    tree, out, loose = Union(len(rows)), [], []
     for at in range(0, len(rows), 64):
-        same = (sig[at : at + 64, None, :] == sig[None, :, :]).sum(2, dtype=np.uint8) >= AGREE if len(rows) <= 512 else _agreeing(sig[at : at + 64], sig)
-        for i, j in zip(*np.nonzero(same), strict=True):
+        agree = (sig[at : at + 64, None, :] == sig[None, :, :]).sum(2, dtype=np.uint8) if len(rows) <= 512 else _agreeing(sig[at : at + 64], sig)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(agree >= AGREE)), strict=True):
             if at + i < j:
-                tree.join(at + int(i), int(j))
-    return [(rows[i][0], rows[tree.top(i)][0]) for i in range(len(rows)) if tree.top(i) != i]
+                if agree[i, j] < EXPECTED:
+                    loose.append((at + i, j))
+                elif tree.join(at + i, j):
+                    out.append((rows[at + i][0], rows[j][0], 1))
+        if len(loose) > 1 << 20:  # those that the sure links connect are of no use
+            loose = [(i, j) for i, j in loose if tree.top(i) != tree.top(j)]
+    out += [(rows[i][0], rows[j][0], 0) for i, j in loose if tree.join(i, j)]
+    return out
 
 
 def _agreeing(some: np.ndarray, sig: np.ndarray) -> np.ndarray:
     n = np.zeros((len(some), len(sig)), np.uint8)
     for c in range(SIGNATURE):
         n += some[:, c, None] == sig[None, :, c]
-    return n >= AGREE
+    return n
 
 
 class Union:
@@ -356,10 +374,12 @@ class Union:
             x = self.above[x]
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
         a, b = self.top(a), self.top(b)
         if a != b:
             self.above[max(a, b)] = min(a, b)
+        return a != b
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -386,7 +406,9 @@ def components(links: DataFrame) -> DataFrame:
         if not moved:
             break
     forget(links, degrees)
-    return labels
+    out = labels.select("sid", "comp")
+    out._stored_at = labels._stored_at
+    return out
 
 
 def _dense_overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
