@@ -9,7 +9,8 @@ four words is one shingle, and a text of none has an empty sketch.
 
 Defined results: a null text is empty; two empty sketches resemble each other fully,
 an empty and another one not at all; in the order of documents null ids come first and
-ties are ordered by the text's hash; a single document follows itself.
+ties are ordered by the text's hash; repeated rows are documents each, one after the other; a single document follows itself; very
+long texts are taken whole; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from quorumlake.llm.common import ascii_lower
 K = 128
 SHINGLE = 5
 BITS = 40
-#: Documents in a bucket of neighbours, value ranges of about equal counts, and the most buckets in each.
-BUCKET, RANGES, PARTS = 512, 64, 300
+#: Documents in a bucket of neighbours, value ranges of about equal counts, and the most buckets in each: what the driver sees
+#: is bounded by 200,000 rows, and a bucket holds some 130,000 documents of 25 thousand million.
+BUCKET, RANGES, PARTS = 512, 64, 3_000
 
 
 def folded(text: Column) -> Column:
@@ -87,20 +89,22 @@ def with_next(docs: DataFrame) -> DataFrame:
     Documents are dealt into buckets of neighbouring ids (value ranges of about equal counts, cut
     evenly), and the first of each bucket goes to the bucket before as a copy, so that one
     shuffle of the texts finds every neighbour. The driver sees a row for each bucket, at most
-    RANGES * PARTS + 1. Rows with ``copy`` set are to be dropped once no more needed.
+    (RANGES + 2) * PARTS. Rows with ``copy`` set are to be dropped once no more needed.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     ids = rows.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.percentile_approx("doc_id", [i / RANGES for i in range(1, RANGES)], 10_000).alias("cuts")).first()
     parts = max(1, min(PARTS, -(-ids.n // (RANGES * BUCKET))))
+    # Null ids come first, in order of their texts' hashes: ranges of those are their buckets.
+    none = F.floor(F.col("hash") / F.lit(float(1 << 63)) * parts).cast("long") - parts - 1
     if ids.low is None:
-        bucket = F.lit(-1).cast("long")
+        bucket = none
     else:
         lows = sorted({ids.low, *(ids.cuts or [])})
         ends = [*lows[1:], ids.high + 1]
         cuts, widths = F.array(*map(F.lit, lows)), F.array(*[F.lit(b - a) for a, b in zip(lows, ends, strict=True)])
         at = F.size(F.filter(cuts, lambda c: c <= F.col("doc_id")))
         fine = F.floor((F.col("doc_id") - F.element_at(cuts, at)) / F.element_at(widths, at) * parts)
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise((at - 1) * parts + F.least(fine, F.lit(parts - 1))).cast("long")
+        bucket = F.when(F.col("doc_id").isNull(), none).otherwise((at - 1) * parts + F.least(fine, F.lit(parts - 1))).cast("long")
     rows = rows.withColumn("bucket", bucket)
     heads = sorted((r["bucket"], r["h"]["doc_id"], r["h"]["hash"]) for r in rows.groupBy("bucket").agg(F.min(F.struct("doc_id", "hash")).alias("h")).collect())
     before = [(h[1], h[2], heads[i - 1][0]) for i, h in enumerate(heads)]

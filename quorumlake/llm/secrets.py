@@ -21,14 +21,13 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from quorumlake.llm.common import slices, stored
 
 #: Most distinct labelled values of a kind from which its automaton is learned.
@@ -64,6 +63,8 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
     """Tokens which no base span overlaps, and their parts between '=' and '/', by start and then the longer first."""
     out = []
+    base = merged((a, b) for _, a, b, _ in taken)
+    starts = [a for a, _ in base]
     for m in _CANDIDATE.finditer(text):
         token = m[0].rstrip(".=-")
         cuts = [-1, *(i for i, c in enumerate(token) if c in "=/")]
@@ -71,8 +72,21 @@ def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[
         spans |= {(a + 1, len(token)) for a in cuts[1:]}
         for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
             a, b = a + m.start(), b + m.start()
-            if b - a >= MIN_ASSIGN and not any(s < b and a < e for _, s, e, _ in taken):
-                out.append((a, b, text[a:b]))
+            if b - a >= MIN_ASSIGN:
+                i = bisect_left(starts, b)  # base[:i] start before b; they don't overlap, so the last reaches furthest
+                if not i or base[i - 1][1] <= a:
+                    out.append((a, b, text[a:b]))
+    return out
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the spans cover, as spans apart from each other, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -90,8 +104,6 @@ def _class_of(c: str) -> str:
     return c
 
 
-#: Characters in a class, by which a class's probability is shared out.
-_WIDTH = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20}
 _CLASSES = {chr(i): _class_of(chr(i)) for i in range(128)}
 
 
@@ -192,10 +204,6 @@ class Automaton:
         return total + math.log((self.ends[at] + 0.02) / (self.visits[at] + 1))
 
 
-def _widths(word: str) -> float:
-    return sum(math.log(_WIDTH.get(c, 1)) for c in word)
-
-
 def scan_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, base, found): base spans and candidates of every text."""
 
@@ -215,15 +223,13 @@ def scan_rows(docs: DataFrame) -> DataFrame:
 
 def labelled(scanned: DataFrame, per_kind: int = TRAIN) -> dict[str, list[str]]:
     """A bounded sample of distinct labelled credentials of each kind, the lowest hashes."""
-    values = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
-    salted = values.withColumn("h", F.xxhash64("value")).withColumn("salt", F.pmod("h", F.lit(64)))
-    near = Window.partitionBy("kind", "salt").orderBy("h", "value")
-    some = salted.withColumn("r", F.row_number().over(near)).where(F.col("r") <= per_kind)
-    best = some.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))).where(F.col("r") <= per_kind)
-    out: dict[str, list[str]] = defaultdict(list)
-    for r in best.orderBy("kind", "r").select("kind", "value").collect():  # at most 3 * per_kind rows
-        out[r["kind"]].append(r["value"])
-    return dict(out)
+    values = stored(scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct().withColumn("h", F.xxhash64("value")), "labelled")
+    out: dict[str, list[str]] = {}
+    for kind in KINDS[:3]:
+        best = values.where(F.col("kind") == kind).orderBy("h", "value").limit(per_kind)
+        if found := [r["value"] for r in best.select("value").collect()]:
+            out[kind] = found
+    return out
 
 
 def background(scanned: DataFrame) -> dict[tuple[str, str], int]:
@@ -265,8 +271,9 @@ def apart(hits: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """Of hits (start, end, score) that overlap, which are parts of one token, the best; the longer of equal ones."""
     out: list[tuple[int, int, float]] = []
     for a, b, v in sorted(hits, key=lambda h: (-h[2], h[0] - h[1], h[0])):
-        if not any(s < b and a < e for s, e, _ in out):
-            out.append((a, b, v))
+        i = bisect_left(out, (a, a, -math.inf))  # kept ones lie apart, in order: only the neighbours can overlap
+        if (not i or out[i - 1][1] <= a) and (i == len(out) or out[i][0] >= b):
+            out.insert(i, (a, b, v))
     return out
 
 

@@ -6,11 +6,13 @@ trees, which judge every URL without a rule. All of it is DataFrame expressions
 and the DataFrame-based tree learner.
 
 Training takes a bounded sample (``SAMPLE``, the lowest hashes of the URL); suffix
-statistics are counted over all labelled URLs.
+statistics are counted over all labelled URLs, for every suffix there is. Suffixes with over 1/HEAVY of
+the URLs are joined by broadcast (at most HEAVY), the others by key.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and
 no rule; without labels of both kinds the method's verdict is the only kind there
-is, or allow; repeated rows are judged each; extra columns are ignored.
+is, or allow; a null page_id is passed through; repeated rows are judged each; very long URLs are judged whole; an
+empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,15 +25,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlake.llm.common import ascii_lower
+from quorumlake.llm.common import ascii_lower, keyed_join, stored
 
 #: Most labelled URLs that the trees are fitted on, and the trees' size.
 SAMPLE = 20_000
 TREES, DEPTH, BINS = 12, 3, 32
-#: Labelled URLs that the overall share weighs as much as in a suffix's statistics,
-#: and the most suffixes kept apart (the commonest; the others share the overall figures).
+#: Labelled URLs that the overall share weighs as much as in a suffix's statistics.
 PRIOR = 20.0
-SUFFIXES = 2_000
 
 FEATURES = ["f_length", "f_host_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_marks", "f_secure", "f_suffix_rate", "f_suffix_log"]
 
@@ -105,19 +105,20 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
     """(page_id, url, host, path, rule, verdict, block_probability) of every row of pages."""
     rows = pages.select("page_id", "url")
     rows = with_features(judge_by_rules(rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}), rules))
-    named = rows.where(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled") == "block").cast("double"))
+    rows = rows.withColumn("label", (F.col("ruled") == "block").cast("double"))
+    named = rows.where(F.col("ruled").isNotNull())
     totals = named.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked")).first()
     out = ["page_id", "url", "host", "path", "rule"]
     if not totals.n or totals.blocked in (0.0, float(totals.n)):
         only = "block" if totals.n and totals.blocked else "allow"
         return rows.select(*out, F.coalesce("ruled", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("block_probability"))
     share = totals.blocked / totals.n
-    stats = named.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES)
-    stats = stats.select(F.col("suffix").alias("s"), ((F.col("blocked") + PRIOR * share) / (F.col("n") + PRIOR)).alias("rate"), F.log1p("n").alias("seen"))
+    every = rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("held"), F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
+    stats = stored(every.select("suffix", "held", ((F.col("blocked") + PRIOR * share) / (F.col("n") + PRIOR)).alias("f_suffix_rate"), F.log1p("n").alias("f_suffix_log")), "suffixes")
+    total = stats.agg(F.sum("held")).first()[0]
 
     def known(frame: DataFrame) -> DataFrame:
-        joined = frame.join(F.broadcast(stats), F.col("suffix") == F.col("s"), "left")  # at most SUFFIXES rows
-        return joined.withColumns({"f_suffix_rate": F.coalesce("rate", F.lit(share)), "f_suffix_log": F.coalesce("seen", F.lit(0.0))}).drop("s", "rate", "seen")
+        return keyed_join(frame, stats, "suffix", "held", total).drop("held")
 
     picked = named.orderBy(F.xxhash64("url"), "url", "page_id").limit(sample)
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, seed=7, stepSize=0.3, predictionCol="blocked")

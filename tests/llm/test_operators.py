@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumlake.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, packing, secrets, substring_dedup, toxicity, url_filter
+from quorumlake.llm.queries import QUERIES
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SYLLABLES = "ba be bi do du fa fe ga go ha he ka ki la lo ma mo na no pa po ra ro sa so ta to va vo".split()
@@ -446,10 +449,10 @@ def brute_lines(rows):
     return out
 
 
-@pytest.mark.parametrize("most", [line_dedup.FILTER_BYTES, -1])
-def test_line_dedup(monkeypatch, docs, rows, most):
-    """With filters sent to tasks, and with the way beyond their size."""
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", most)
+@pytest.mark.parametrize("shard_keys,heavy", [(line_dedup.SHARD_KEYS, line_dedup.HEAVY), (2, 3), (1, 10**9)])
+def test_line_dedup(monkeypatch, docs, rows, shard_keys, heavy):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard_keys)
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
     out = line_dedup.line_dedup(docs).collect()
     assert bag((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out) == bag(brute_lines(rows))
     assert sum(r.n_dropped for r in out) > 5
@@ -465,6 +468,24 @@ def test_line_dedup_is_reversible(spark, docs, rows):
     assert bag(tuple(r) for r in shrunk.apply(frame(rest)).select("doc_id", "n_lines", "n_dropped", "text").collect()) == bag(brute_lines(rest))
 
 
+def test_deltas_touch_only_crossing_shards(monkeypatch, spark):
+    """Filters hold exactly the keys at min_docs after insertions and deletions; an unknown line isn't in them."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    lines = [f"line number {i} of a long enough kind" for i in range(40)]
+    rows = [(d, "\n".join(lines[d % 3 :: 3] if d < 6 else lines)) for d in range(8)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    index = line_dedup.LineIndex.build(frame(rows))
+    before = {r.shard: bytes(r["filter"]) for r in index.filters.collect()}
+    grown = index.insert(frame([(20, "\n".join([lines[0], *["a line that is quite new and long"] * 2])), (21, "a line that is quite new and long"), (22, "A line that is quite new and long ")]))
+    after = {r.shard: bytes(r["filter"]) for r in grown.filters.collect()}
+    assert len(before) > 4 and sum(before.get(k) != v for k, v in after.items()) == 1
+    keys = {r.key_lo for r in grown.counts.where("n_docs >= 3").collect()}
+    assert keys - {r.key_lo for r in index.counts.where("n_docs >= 3").collect()} == {line_dedup.key_hash("a line that is quite new and long")[1]}
+    back = grown.delete(frame([(20, ""), (21, ""), (22, "")]))
+    assert {r.shard: bytes(r["filter"]) for r in back.filters.collect() if np.frombuffer(r["filter"], np.uint16).any()} == before
+    assert bag(back.counts.collect()) == bag(index.counts.collect())
+
+
 def test_line_dedup_without_rows(none):
     assert line_dedup.line_dedup(none).collect() == []
 
@@ -561,6 +582,22 @@ def test_url_filter(spark):
         assert out[i].verdict == verdict if rule else out[i].verdict in ("allow", "block")
 
 
+def test_every_suffix_keeps_its_statistics(monkeypatch, spark):
+    """Features against their definitions, for thousands of suffixes, heavy and rare."""
+    rows = [(i, f"http://h{i}.s{i % 2500}/a/{i}?x=1&y=2") for i in range(3000)] + [(5000 + i, f"http://a{i}.net/es/{i}") for i in range(40)] + [(6000 + i, f"https://b{i}.com/{i}") for i in range(40)]
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string"))
+    assert got.count() == len(rows) and {r.verdict for r in got.where("rule = 'net/es/'").collect()} == {"block"}
+    urls = ["http://a1.b2.org/x/y-z?q=1&r=2#f", "https://é.com/", "", None]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    frame = url_filter.with_features(frame.withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))}))
+    for r in frame.collect():
+        u = r.url or ""
+        n, counts = len(u), Counter(u)
+        entropy = -sum(k / n * np.log2(k / n) for k in counts.values()) if n else 0.0
+        want = [n, len(r.host), r.path.count("/"), r.host.count(".") + 1, sum(c in "0123456789" for c in u) / max(n, 1), entropy, u.count("&") + 1 if "?" in u else 0, sum(c in "-_%~." for c in u), float(u.startswith("https"))]
+        assert [r[f] for f in url_filter.FEATURES[:9]] == pytest.approx(want)
+
+
 def test_url_filter_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://b.org/"), (2, None)], "page_id long, url string")
     assert [r.verdict for r in url_filter.url_filter(pages).collect()] == ["allow", "allow"]
@@ -589,6 +626,34 @@ def test_learnt_formats_add_spans(spark):
     assert [s.kind for s in out[100]] == ["format"] and out[101] == [] and out[102] == []
 
 
+#: The contract's base rules as it writes them.
+_NAMED = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+
+
+def test_secret_scan_query_against_the_contract(spark):
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    out = QUERIES["op9_secret_scan"](spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == len(text)
+    for r in out:
+        t = text[r.doc_id]
+        base = [(m.start(), 0, m.end()) for m in _NAMED.finditer(t) if len(m[2]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        shown = [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(base)]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest()
+        every = r.spans.split(",") if r.spans else []
+        assert [s for s in every if not s.startswith("format")] == shown
+        assert [int(s.split(":")[1]) for s in every] == sorted(int(s.split(":")[1]) for s in every)
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    text = " ".join(f"token={'ab12' * 5} free{i}text/parts=of_it" for i in range(20_000))
+    began = time.perf_counter()
+    spans = secrets.base_spans(text)
+    found = secrets.candidates(text, spans)
+    assert len(spans) == 20_000 and len(found) > 20_000 and time.perf_counter() - began < 5
+    assert not any(a < e and s < b for (a, b, _), (_, s, e, _) in zip(found[:50], spans[:50], strict=True))
+
+
 def test_short_formats_and_values_behind_other_names(spark):
     """Values of a learnt format of 10 letters stand without their keyword, alone or behind an unlisted name."""
     rng = random.Random(15)
