@@ -7,27 +7,32 @@ around it. Posting lists, adjusted by the term's offset in the window, are inter
 (document, start); the words around the posting confirm the phrase exactly. Where
 both lists meet within a few words of each other without the phrase, that is a proximity match.
 
-Benchmarks are taken in blocks of at most ``BLOCK_TERMS`` distinct terms (all rows
-are scanned for each block), so the terms that a task is sent stay bounded.
+The benchmark's terms are dealt by hash into blocks of about ``BLOCK_TERMS`` (all rows
+are scanned for each block), so the terms that a task is sent stay bounded however long the benchmark or an
+item is. Postings of heavy terms are salted, and the lookups of those repeated for each salt.
 Everything is DataFrame expressions.
 
 Defined results: null texts have no words; an item without words matches nothing; a
-null item_id's windows hit but aren't named; null and repeated doc_ids are judged
-row by row; extra columns are ignored.
+null item_id's windows hit but aren't named; repeated items match each; null and repeated doc_ids are judged
+row by row; very long texts are taken whole; empty tables give no rows or no hits; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quorumlake.llm.common import stored
+from quorumlake.llm.common import HEAVY, forget, stored
 from quorumlake.llm.fingerprints import folded
 
 WINDOW = 13
-#: Most distinct terms of the benchmark in a block.
+#: Distinct terms of the benchmark in a block, on average: they are dealt by hash.
 BLOCK_TERMS = 20_000
+#: Most tasks over which a heavy term's postings are dealt.
+SALTS = 1_024
 #: Lists intersected for each window, and how far apart their starts may be in a proximity match.
 RAREST, SLACK = 2, 4
 #: Fixed value: what separates words, [\x00-\x2F\x3A-\x60\x7B-\x7F] of a text with A-Z lower-cased.
@@ -52,11 +57,11 @@ def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """(window_id, item_id, phrase, role, term, offset): the terms by which each window is looked up."""
+    """(window_id, item_id, phrase, role, term, offset, n): the terms by which each window is looked up, with their counts."""
     keyed = windows.withColumn("window_id", F.xxhash64("item_id", "phrase"))
     terms = keyed.select("*", F.posexplode("phrase").alias("offset", "term")).join(counts, "term", "left").fillna(0, ["n"])
     by = Window.partitionBy("window_id", "item_id", "phrase").orderBy("n", "term", "offset")
-    return terms.withColumn("role", F.row_number().over(by) - 1).where(F.col("role") < rarest).select("window_id", "item_id", "phrase", "role", "term", "offset")
+    return terms.withColumn("role", F.row_number().over(by) - 1).where(F.col("role") < rarest).select("window_id", "item_id", "phrase", "role", "term", "offset", "n")
 
 
 def postings(docs: DataFrame, terms: list[str], window: int = WINDOW) -> DataFrame:
@@ -68,10 +73,15 @@ def postings(docs: DataFrame, terms: list[str], window: int = WINDOW) -> DataFra
     return rows.select("doc_id", "row_key", F.size("w").cast("long").alias("n_words"), hits.alias("hits"))
 
 
-def candidates(index: DataFrame, lookups: DataFrame) -> DataFrame:
-    """Offset-adjusted postings: (doc_id, row_key, window_id, item_id, role, start, length, exact)."""
+def candidates(index: DataFrame, lookups: DataFrame, total: int) -> DataFrame:
+    """Offset-adjusted postings: (doc_id, row_key, window_id, item_id, role, start, length, exact). total: occurrences of all terms looked up."""
+    line = max(1, total // HEAVY)
+    salts = F.least(F.ceil(F.col("n") / line), F.lit(SALTS)).cast("int")
+    heavy = lookups.where(F.col("n") > line).select("term", salts.alias("salts")).distinct()  # at most HEAVY
+    wanted = lookups.withColumn("salt", F.explode(F.when(F.col("n") > line, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0))))).drop("n")
     rows = index.select("doc_id", "row_key", F.explode("hits").alias("h")).select("doc_id", "row_key", "h.term", "h.pos", "h.first", "h.context")
-    met = rows.join(lookups, "term").withColumn("start", F.col("pos") - F.col("offset")).where(F.col("start") >= 0)
+    rows = rows.join(F.broadcast(heavy), "term", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("row_key", "pos"), "salts"), F.lit(0)).cast("int")).drop("salts")
+    met = rows.join(wanted, ["term", "salt"]).withColumn("start", F.col("pos") - F.col("offset")).where(F.col("start") >= 0)
     exact = F.slice("context", F.col("start") - F.col("first") + 1, F.size("phrase")) == F.col("phrase")
     inside = F.col("start") >= F.col("first")
     return met.select("doc_id", "row_key", "window_id", "item_id", "role", "start", F.size("phrase").alias("length"), F.when(inside, exact).otherwise(False).alias("exact"))
@@ -99,30 +109,46 @@ def proximity_matches(found: DataFrame, slack: int = SLACK) -> DataFrame:
     return met.groupBy(*[a[k] for k in key], "start").agg(F.min(near).alias("gap")).drop("window_id")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """(doc_id, row_key, n_words, n_hit, items) of every row of docs; items are sorted as strings.
+def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_terms: int = BLOCK_TERMS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_key, n_words) of every row of docs, and the candidates for the benchmark's windows from the stored index."""
+    windows = stored(item_windows(benchmark, window), "windows")
+    terms = stored(windows.select(F.explode("phrase").alias("term")).distinct(), "terms")
+    blocks = max(1, -(-terms.count() // block_terms))
+    block = F.pmod(F.xxhash64("term"), F.lit(blocks))
+
+    def of(frame: DataFrame, k: int) -> list[str]:
+        return [r[0] for r in frame.where(block == k).select("term").distinct().collect()]  # bounded by the block
+
+    def together(frames: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, frames)
 
-    ``row_key`` is xxhash64(doc_id, text); n_hit counts words inside any occurrence of a window.
+    counts = together([stored(term_counts(docs, of(terms, k)), "term_counts") for k in range(blocks)])
+    lookups = stored(rarest_terms(windows, counts), "lookups")
+    total = lookups.select("term", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    index = [stored(postings(docs, of(lookups, k), window), "postings") for k in range(blocks)]
+    found = together([candidates(index[k], lookups.where(block == k), total) for k in range(blocks)])
+    forget(windows, terms)
+    return index[0].select("doc_id", "row_key", "n_words"), found
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_terms: int = BLOCK_TERMS, near: bool = False) -> DataFrame:
+    """(doc_id, row_key, n_words, n_hit, items[, near]) of every row of docs; items are sorted as strings.
+
+    ``row_key`` is xxhash64(doc_id, text); n_hit counts words inside any occurrence of a window; near has the proximity matches
+    as (item_id, start, gap).
     """
-    windows = stored(item_windows(benchmark, window), "windows")
-    size = windows.select(F.explode("phrase").alias("t")).agg(F.count_distinct("t")).first()[0]
-    blocks = max(1, -(-size // block_terms))
-    matches, totals = None, None
-    for block in range(blocks):
-        part = windows.where(F.pmod(F.hash("item_id"), F.lit(blocks)) == block) if blocks > 1 else windows
-        terms = [r[0] for r in part.select(F.explode("phrase").alias("t")).distinct().collect()]  # bounded by the block
-        if not terms:
-            continue
-        counts = stored(term_counts(docs, terms), "term_counts")
-        lookups = stored(rarest_terms(part, counts), "lookups")
-        chosen = [r[0] for r in lookups.select("term").distinct().collect()]
-        index = stored(postings(docs, chosen, window), "postings")
-        totals = index.select("doc_id", "row_key", "n_words") if totals is None else totals
-        found = phrase_matches(candidates(index, lookups))
-        matches = found if matches is None else matches.unionByName(found)
-    if totals is None:
-        totals = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-        return totals.select("*", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    totals, found = searched(docs, benchmark, window, block_terms)
+    found = stored(found, "candidates")
+    judged = _judged(totals, phrase_matches(found))
+    if not near:
+        return judged
+    some = proximity_matches(found).groupBy(F.col("doc_id").alias("near_id"), F.col("row_key").alias("near_key"))
+    some = some.agg(F.array_sort(F.collect_set(F.struct(F.col("item_id").cast("string").alias("item_id"), "start", "gap"))).alias("near"))
+    return judged.join(some, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("row_key") == F.col("near_key")), "left").select(*judged.columns, F.coalesce("near", F.array().cast(some.schema["near"].dataType)).alias("near"))
+
+
+def _judged(totals: DataFrame, matches: DataFrame) -> DataFrame:
+    """totals with the words that the matches cover and their items."""
     spans = matches.groupBy("doc_id", "row_key", "start").agg(F.max("length").alias("length"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
     before = Window.partitionBy("doc_id", "row_key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("length")

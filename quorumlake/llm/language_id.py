@@ -5,7 +5,10 @@ labelled documents; every labelled language is kept, those with few texts smooth
 towards the whole corpus), the language its markup declares, its address suffix and a
 prior of its host. Host priors are smoothed down a hierarchy, host -> domain ->
 suffix -> everything, from expected counts gathered by grouped aggregation; a
-row's own share is left out of its host's counts.
+row's own share is left out of the counts of every level.
+
+A document's lang column is the label that the text model learns from; it is no evidence for the document
+itself, whose source stands for its host. Pages bring all kinds of evidence.
 
 A text is rejected where no evidence supports a language: no letters at all, or
 no language with a posterior of ``ACCEPT`` or more.
@@ -15,7 +18,8 @@ Hot hosts: counts are partly aggregated before any shuffle; hosts that hold over
 
 Defined results: null or empty texts and texts without letters are rejected (null
 language); null hosts, suffixes and declared languages are missing evidence;
-without labelled texts everything is rejected; repeated rows are judged each.
+without labelled texts everything is rejected; of languages that come out equal the first by name is taken; null ids are passed
+through and repeated rows judged each; very long texts are taken whole; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -154,8 +158,10 @@ def score_texts(units: DataFrame, model: TextModel, keys: list[str], is_page: bo
     return units.select(*keys, "declared", "text").mapInArrow(run, schema)
 
 
-def _smoothed(counts: Column, total: Column, above: Column, strength: float) -> Column:
-    return F.zip_with(counts, above, lambda n, p: (n + strength * p) / (total + strength))
+def _smoothed(counts: Column, total: Column, above: Column, own: Column, is_own: Column) -> Column:
+    """A level's prior without the row's own share (none below zero), drawn towards that of the level above."""
+    rest = F.zip_with(counts, own, lambda n, x: F.greatest(n - x, F.lit(0.0)))
+    return F.zip_with(rest, above, lambda n, p: (n + STRENGTH * p) / (F.greatest(total - is_own, F.lit(0.0)) + STRENGTH))
 
 
 def _expected(scored: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -164,16 +170,13 @@ def _expected(scored: DataFrame, n: int, *keys: str) -> DataFrame:
     return scored.groupBy(*keys).agg(*sums, F.count("post").cast("double").alias("total"), F.count(F.lit(1)).alias("rows")).select(*keys, F.array(*[F.col(f"s{i}") for i in range(n)]).alias("counts"), "total", "rows")
 
 
-def host_priors(scored: DataFrame, n: int) -> DataFrame:
-    """host, host_counts, host_total, above (the smoothed prior of its domain), rows."""
-    whole = _expected(scored, n).first()
-    top = F.array(*[F.lit((c + STRENGTH / n) / (whole["total"] + STRENGTH)) for c in whole["counts"]])
-    suffixes = _expected(scored, n, "suffix")
-    suffixes = suffixes.select(F.col("suffix").alias("s"), _smoothed(F.col("counts"), F.col("total"), top, STRENGTH).alias("p_suffix"))
+def host_counts(scored: DataFrame, n: int) -> DataFrame:
+    """(h, rows) and for each level of a host (suffix, domain, host) its expected counts and their total."""
+    suffixes = _expected(scored, n, "suffix").select(F.col("suffix").alias("s"), F.col("counts").alias("suffix_counts"), F.col("total").alias("suffix_total"))
     domains = _expected(scored, n, "suffix", "domain").join(suffixes, F.col("suffix").eqNullSafe(F.col("s")))
-    domains = domains.select(F.col("suffix").alias("ds"), F.col("domain").alias("dd"), _smoothed(F.col("counts"), F.col("total"), F.col("p_suffix"), STRENGTH).alias("above"), F.col("p_suffix"))
+    domains = domains.select(F.col("suffix").alias("ds"), F.col("domain").alias("dd"), F.col("counts").alias("domain_counts"), F.col("total").alias("domain_total"), "suffix_counts", "suffix_total")
     hosts = _expected(scored, n, "suffix", "domain", "host").join(domains, F.col("suffix").eqNullSafe(F.col("ds")) & F.col("domain").eqNullSafe(F.col("dd")))
-    return hosts.select(F.col("host").alias("h"), F.col("counts").alias("host_counts"), F.col("total").alias("host_total"), "above", "rows")
+    return hosts.select(F.col("host").alias("h"), F.col("counts").alias("host_counts"), F.col("total").alias("host_total"), "domain_counts", "domain_total", "suffix_counts", "suffix_total", "rows")
 
 
 def fuse(scored: DataFrame, model: TextModel) -> DataFrame:
@@ -191,19 +194,23 @@ def fuse(scored: DataFrame, model: TextModel) -> DataFrame:
     spoken = F.broadcast(scored.sparkSession.createDataFrame([(d, list(map(float, row))) for d, row in zip(marks, says, strict=True)], "d string, said array<double>"))
     mark = F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(F.when(F.col("declared").isNotNull(), OTHER))
     scored = scored.withColumn("mark", mark).join(spoken, F.col("mark") == F.col("d"), "left").drop("mark", "d")
-    priors = host_priors(scored, n)
+    priors = host_counts(scored, n)
+    levels = [c for c in priors.columns if c.endswith(("_counts", "_total"))]
+    whole = _expected(scored, n).first()
     rows = scored.agg(F.count(F.lit(1))).first()[0]
     line = max(1, rows // HEAVY)
     same = F.col("host").eqNullSafe(F.col("h"))
     heavy, light = priors.where(F.col("rows") > line).drop("rows"), priors.where(F.col("rows") <= line).drop("rows")
     # Rows of heavy hosts meet their prior by broadcast; only what finds none is joined by key.
     first = scored.join(F.broadcast(heavy), same, "left")
-    rest = first.where(F.col("host_total").isNull()).drop("h", "host_counts", "host_total", "above").join(light, same, "left")
+    rest = first.where(F.col("host_total").isNull()).drop("h", *levels).join(light, same, "left")
     joined = first.where(F.col("host_total").isNotNull()).unionByName(rest).drop("h")
     own = F.coalesce(F.col("post"), F.array(*[F.lit(0.0)] * n))
-    others = F.zip_with(F.col("host_counts"), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    others_total = F.greatest(F.col("host_total") - F.when(F.col("post").isNull(), 0.0).otherwise(1.0), F.lit(0.0))
-    prior = _smoothed(others, others_total, F.col("above"), STRENGTH)
+    is_own = F.when(F.col("post").isNull(), 0.0).otherwise(1.0)
+    prior = F.array(*[F.lit(1.0 / n)] * n)
+    for counts, total in ((F.array(*map(F.lit, whole["counts"])), F.lit(whole["total"])), *((F.col(f"{k}_counts"), F.col(f"{k}_total")) for k in ("suffix", "domain", "host"))):
+        joined = joined.withColumn("prior", _smoothed(counts, total, prior, own, is_own))
+        prior = F.col("prior")
     said = F.coalesce(F.col("said"), F.array(*[F.lit(0.0)] * n))
     logs = F.zip_with(F.zip_with(F.col("logs"), F.transform(prior, lambda p: F.log(p)), lambda a, b: a + b), said, lambda a, b: a + b)
     out = joined.withColumn("total_logs", logs).withColumn("best", F.array_max("total_logs"))
@@ -221,11 +228,11 @@ def fuse(scored: DataFrame, model: TextModel) -> DataFrame:
 
 
 def document_units(docs: DataFrame) -> DataFrame:
-    """A document's source stands for its host, its lang column for the declared language."""
+    """A document's source stands for its host; it has no address and declares nothing."""
     return docs.select(
         F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.xxhash64("text").alias("text_hash"),
-        F.col("source").cast("string").alias("host"), F.col("source").cast("string").alias("domain"), F.lit(None).cast("string").alias("suffix"),
-        F.col("lang").cast("string").alias("declared"), "text",
+        F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("suffix"),
+        F.lit(None).cast("string").alias("declared"), "text",
     )
 
 

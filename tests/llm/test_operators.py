@@ -210,6 +210,54 @@ def test_language_by_fused_evidence(spark):
     assert not out["page", 20].accepted and not out["page", 21].accepted
 
 
+def test_language_posterior_row_by_row(spark):
+    """Every row's language and confidence from the same scores in plain Python."""
+    rng = random.Random(21)
+    tongue = {"xx": "aeiou", "yy": "bcdfg", "zz": "hjklm"}
+    some = lambda k, n=8: " ".join("".join(rng.choices(tongue[k], k=4)) for _ in range(n))
+    docs = [(i, some(k := rng.choice("xx yy zz".split())), k, f"s{i % 3}") for i in range(60)] + [(90, "12 34", "xx", "s0"), (91, None, "xx", None), (92, some("xx"), None, None)]
+    pages = [(i, f"http://h{i % 4}.d{i % 2}.{'org' if i % 3 else 'net'}/", f'<html lang="{rng.choice(["xx", "yy", "qq"])}"><p>{some(rng.choice(list(tongue)), 2)}</p>') for i in range(30)] + [(80, None, "<p>1</p>"), (81, "nothing", f"<b>{some('yy')}")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    model = language_id.TextModel.train(docs)
+    keys = language_id._KEYS
+    scored = language_id.score_texts(language_id.document_units(docs), model, keys, False).unionByName(language_id.score_texts(language_id.page_units(pages), model, keys, True))
+    rows, names = scored.collect(), model.languages
+    held = [r for r in rows if r.post]
+    count = lambda some, own: np.sum([r.post for r in some if r is not own] or [np.zeros(3)], axis=0)
+    marks = [*names, None]
+    says = np.array([[sum(r.post[i] for r in held if r.declared is not None and (r.declared if r.declared in names else None) == d) + (5.0 if d == names[i] else 0.5) for i in range(3)] for d in marks])
+    says = np.log(says / says.sum(0))
+    want = {}
+    for r in rows:
+        if not r.post:
+            want[r.kind, r.doc_id, r.page_id] = (None, 0.0)
+            continue
+        prior = np.full(3, 1 / 3)
+        for same in (lambda x: True, lambda x: x.suffix == r.suffix, lambda x: (x.suffix, x.domain) == (r.suffix, r.domain), lambda x: (x.suffix, x.domain, x.host) == (r.suffix, r.domain, r.host)):
+            near = [x for x in held if same(x) and x is not r]
+            prior = (count(near, None) + 10 * prior) / (len(near) + 10)
+        logs = np.array(r.logs) + np.log(prior) + (says[marks.index(r.declared if r.declared in names else None)] if r.declared is not None else 0)
+        p = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        want[r.kind, r.doc_id, r.page_id] = (names[int(p.argmax())] if p.max() >= 0.5 else None, p.max())
+    out = language_id.identify(docs, pages).collect()
+    assert len(out) == len(want)
+    for r in out:
+        lang, sure = want[r.kind, r.doc_id, r.page_id]
+        assert r.lang == lang and r.confidence == pytest.approx(sure, abs=1e-6)
+
+
+def test_language_of_rows_that_were_held_out(spark):
+    """A fifth of the labels is hidden; nine in ten of those texts get theirs back."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    true = {r.doc_id: r.lang for r in docs.where("doc_id % 5 = 0").collect()}
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    got = {r.doc_id: r.lang for r in language_id.identify(hidden).where("doc_id % 5 = 0 AND accepted").collect()}
+    right = sum(true[k] == v for k, v in got.items())
+    print(f"held-out accuracy {right}/{len(got)} of {len(true)}")
+    assert len(got) >= 0.9 * len(true) and right >= 0.9 * len(got)
+
+
 def test_languages_of_few_texts_are_kept(spark):
     """A language with one or two texts beside large ones, and tables where every language is small."""
     rng = random.Random(14)
@@ -550,11 +598,32 @@ def test_proximity_matches_are_not_phrases(spark):
     docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(apart))], "doc_id long, text string")
     windows = decontamination.item_windows(spark.createDataFrame([(1, " ".join(w))], "item_id long, text string"))
     lookups = decontamination.rarest_terms(windows, decontamination.term_counts(docs, w)).withColumn("term", F.when(F.col("role") == 0, "w0").otherwise("w12")).withColumn("offset", F.when(F.col("role") == 0, 0).otherwise(12))
-    found = decontamination.candidates(decontamination.postings(docs, ["w0", "w12"]), lookups)
+    found = decontamination.candidates(decontamination.postings(docs, ["w0", "w12"]), lookups, 4)
     assert [(r.doc_id, r.start) for r in decontamination.phrase_matches(found).collect()] == [(1, 0)]
     assert [(r.doc_id, r.gap) for r in decontamination.proximity_matches(found).collect()] == [(2, 1)]
 
 
+@pytest.mark.parametrize("block", [decontamination.BLOCK_TERMS, 5])
+def test_proximity_matches_beside_phrases(spark, block):
+    """A passage with a word put in between is a proximity match of its item, and no phrase."""
+    w = [f"w{i}" for i in range(13)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join([*w[:6], "zz", *w[6:]])), (3, "else"), (None, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in decontamination.decontaminate(docs, spark.createDataFrame([(7, " ".join(w))], "item_id long, text string"), block_terms=block, near=True).collect()}
+    lists = decontamination.rarest_terms(decontamination.item_windows(spark.createDataFrame([(7, " ".join(w))], "item_id long, text string")), decontamination.term_counts(docs, w)).collect()
+    offsets = sorted(r.offset for r in lists)
+    shift = [o + (o >= 6) - o for o in offsets]
+    assert out[1].n_hit == 13 and out[1].near == [] and out[2].n_hit == 0 and out[3].near == [] and out[None].near == []
+    assert [(x.item_id, x.gap) for x in out[2].near] == [("7", abs(shift[0] - shift[1]))]
+
+
+def test_hot_terms_are_salted(monkeypatch, spark):
+    monkeypatch.setattr(decontamination, "HEAVY", 2)
+    rows = [(i, "the cat and the dog " * 30) for i in range(6)] + [(9, "no such thing"), (9, "the")]
+    items = [(1, "the"), (2, "cat and the"), (3, "the dog " * 9)]
+    out = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert bag((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in out) == bag(brute_hits(rows, items))
+
+
 # 8
 
 
