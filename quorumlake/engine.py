@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Mapping
 from typing import Any
 
@@ -133,6 +134,9 @@ class Engine:
                 row |= {"chi2": test and test[0], "p": test and test[2], "small_n": bool(test and test[3])}
             if self.least and not all(disclosure.shown_split(t[2], t[0] + t[2], self.least) for t in table.values()):
                 row = {"suppressed": True}
+            elif self.least:
+                for n, t in table.items():
+                    row["cohorts"][n]["unknown"] = t[1] if disclosure.shown_counts([t[1]], self.least) else None
             out.append(row)
         tested = [r for r in out if r.get("p") is not None]
         for r, q in zip(tested, stats.benjamini_hochberg([r["p"] for r in tested]), strict=True):
@@ -163,18 +167,38 @@ class Engine:
             by = {}
             for name, t in truths.items():
                 values, left = self._weighted(frame, t, v)
+                if self.least:
+                    by[name] = self._disclosed(values, left, view["params"].get("edges"))
+                    continue
                 by[name] = (_numbers(values, view["params"].get("edges")) if values and _is_number(values[0][0]) else _categories(values)) | {"excluded": left}
             out.append(by)
+        if self.least:
+            return {"variables": out}
         row = {n: joint(frame, t.v == TRUE, variables).first().asDict() for n, t in truths.items()}
         return {"variables": out, "joint": row}
 
+    def _disclosed(self, values: list[tuple[Any, int]], left: dict[str, int], edges: Any) -> dict:
+        """A distribution under a least count: merged bins without extremes or quantiles; categories only where all counts may be shown."""
+        if not disclosure.shown_counts([sum(n for _, n in values), *left.values()], self.least):
+            return {"suppressed": True}
+        if values and _is_number(values[0][0]):
+            made = _numbers(values, edges)
+            merged = disclosure.merged_bins(made["bins"], self.least)
+            if not disclosure.shown_counts([n for _, _, n in merged], self.least):
+                return {"suppressed": True}
+            return {"edges": [made["edges"][a] for a, _, _ in merged] + made["edges"][-1:], "bins": [n for _, _, n in merged], "excluded": left}
+        return _categories(values) | {"excluded": left} if disclosure.shown_counts([n for _, n in values], self.least) else {"suppressed": True}
+
     def compare_columns(self, doc: Document, view: Mapping[str, Any]) -> dict:
         frame, truths, variables = self.values_of(doc, view)
         level, out = view["params"].get("level", 0.95), []
         for v in variables:
             groups = {n: self._weighted(frame, t, v)[0] for n, t in truths.items()}
             values = [x for g in groups.values() for x, _ in g]
-            if not values or any(not g for g in groups.values()):
+            sizes = [sum(n for _, n in g) for g in groups.values()]
+            if self.least and not disclosure.shown_counts(sizes if values and _is_number(values[0]) else [n for g in groups.values() for _, n in g], self.least):
+                out.append({"suppressed": True})
+            elif not values or any(not g for g in groups.values()):
                 out.append({"reason": "no_units"})
             elif _is_number(values[0]):
                 gs = [[(float(x), n) for x, n in g] for g in groups.values()]
@@ -230,6 +254,8 @@ class Engine:
         return out
 
     def _endpoint(self, view: Mapping[str, Any]) -> Endpoint:
+        if self.least:
+            raise Refusal("DISCLOSURE", "times of single units are not disclosed under a least count")
         id_ = view["params"]["endpoint"]
         if id_ not in self.release.endpoints:
             raise Refusal("UNKNOWN_ENDPOINT", id_)
@@ -238,7 +264,7 @@ class Engine:
     def survival_km(self, doc: Document, view: Mapping[str, Any]) -> dict:
         names, p = view.get("cohorts") or list(doc.cohorts), view["params"]
         risks = self.risks(doc, names, self._endpoint(view))
-        curves = {n: survival.kaplan_meier(r, p.get("level", 0.95)) for n, r in risks.items()}
+        curves = {n: survival.kaplan_meier([x for x in r if x[1] or x[2]], p.get("level", 0.95)) for n, r in risks.items()}
         marks = {n: [survival.landmark(c, t) for t in p.get("landmarks", ())] for n, c in curves.items()}
         small = [n for n, r in risks.items() if not r or r[0][3] < MIN_GROUP_N or sum(x[1] for x in r) < MIN_EVENTS]
         return {"curves": curves, "median": {n: survival.median(c) for n, c in curves.items()}, "landmarks": marks, "log_rank": survival.log_rank(list(risks.values())) if len(names) > 1 else None, "small": small}
@@ -288,7 +314,10 @@ def _numbers(values: list[tuple[Any, int]], edges: list[float] | None) -> dict:
     n, mean, sd = stats.moments(w)
     lo, hi = w[0][0], w[-1][0]
     edges = edges or ([lo + (hi - lo) * i / BINS for i in range(BINS + 1)] if hi > lo else [lo, lo])
-    bins = [sum(k for v, k in w if a <= v < b or (i == len(edges) - 2 and v == b)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    bins = [0] * (len(edges) - 1)
+    for v, k in w:  # the last bin holds its upper edge
+        if edges[0] <= v <= edges[-1]:
+            bins[min(bisect_right(edges, v), len(edges) - 1) - 1] += k
     return {"n": n, "mean": mean, "sd": sd, "quartiles": [stats.quantile(w, q) for q in (0.25, 0.5, 0.75)], "min": lo, "max": hi, "edges": edges, "bins": bins}
 
 

@@ -8,6 +8,7 @@ over distinct times.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,19 +23,22 @@ def risk_table(rows: DataFrame) -> DataFrame:
     """rows (cohort, time, event 0/1, optional entry) -> (cohort, time, d, c, n): events, censored, at risk.
 
     At risk at t: entered before t and not yet left. One aggregation by time, then windows
-    over the distinct times of a cohort.
+    over the distinct times of a cohort. With delayed entry a cohort also has the times of the others' events, with those at risk then.
     """
     counts = rows.groupBy("cohort", "time").agg(F.sum(F.col("event").cast("long")).alias("d"), F.count(F.lit(1)).alias("ended"))
     entered = None
     if "entry" in rows.columns:
         entered = rows.where(F.col("entry").isNotNull()).groupBy("cohort", F.col("entry").alias("time")).agg(F.count(F.lit(1)).alias("late"))
-        counts = counts.join(entered, ["cohort", "time"], "full_outer").fillna(0, ["d", "ended", "late"])
+        counts = counts.join(entered, ["cohort", "time"], "full_outer")
+        names = F.array(*[F.lit(r[0]) for r in rows.select("cohort").distinct().collect()])  # a few cohorts
+        events = counts.where("d > 0").select("time").distinct().select(F.explode(names).alias("cohort"), "time", F.lit(1).alias("asked"))
+        counts = counts.join(events, ["cohort", "time"], "full_outer").fillna(0, ["d", "ended", "late", "asked"])
     onward = Window.partitionBy("cohort").orderBy("time").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     n = F.sum("ended").over(onward)
     if entered is not None:
         n = n - F.sum("late").over(onward)
     out = counts.withColumn("n", n)
-    return out.where("ended > 0").select("cohort", "time", "d", (F.col("ended") - F.col("d")).alias("c"), "n")
+    return out.where("ended > 0" if entered is None else "ended > 0 OR asked > 0").select("cohort", "time", "d", (F.col("ended") - F.col("d")).alias("c"), "n")
 
 
 Risk = Sequence[tuple[float, int, int, int]]  # (time, events, censored, at risk), by time
@@ -87,10 +91,12 @@ def log_rank(groups: Sequence[Risk]) -> dict | None:
     """Observed less expected events of each group, against their hypergeometric covariance."""
     times = sorted({t for g in groups for t, d, _, _ in g if d})
     k = len(groups)
+    starts, deaths = [[r[0] for r in g] for g in groups], [{r[0]: r[1] for r in g} for g in groups]
     observed, expected, cov = np.zeros(k), np.zeros(k), np.zeros((k, k))
     for t in times:
-        d = np.array([sum(r[1] for r in g if r[0] == t) for g in groups], float)
-        n = np.array([next((r[3] for r in g if r[0] >= t), 0) for g in groups], float)
+        d = np.array([g.get(t, 0) for g in deaths], float)
+        at = [bisect_left(ts, t) for ts in starts]  # without delayed entry nobody joins before the next time
+        n = np.array([g[i][3] if i < len(g) else 0 for g, i in zip(groups, at, strict=True)], float)
         all_n, all_d = n.sum(), d.sum()
         if all_n == 0:
             continue

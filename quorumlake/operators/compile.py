@@ -26,6 +26,9 @@ INLINE = 200
 #: Reasons for which a lift leaves children out.
 DROPS = {None: 0, "strict": BIT["OUT_OF_SCOPE"], "assessed": BIT["OUT_OF_SCOPE"] | BIT["NOT_COVERED"]}
 
+#: Most constants that a document may list in one place.
+MAX_CONSTANTS = 10_000
+
 
 class Frame:
     """A table's working frame: its rows with the columns that clauses add."""
@@ -136,7 +139,9 @@ class Frame:
         return Truth(F.when(hit, TRUE).otherwise(FALSE), F.lit(0), F.lit(0).cast("long"))
 
     def _listed(self, columns: list[Column], rows: Sequence[tuple]) -> Column:
-        """Whether the columns are among constants, by a join; documents limit constants to 10,000."""
+        """Whether the columns are among constants, by a join: no more than MAX_CONSTANTS, so that they can be broadcast."""
+        if len(rows) > MAX_CONSTANTS:
+            raise Refusal("TOO_MANY_CONSTANTS", str(len(rows)))
         name = self.fresh("in")
         held = self.df.sparkSession.createDataFrame([tuple(r) for r in rows], [f"{name}{i}" for i in range(len(columns))]).distinct().withColumn(f"{name}hit", F.lit(True))
         on = reduce(lambda a, b: a & b, [same_key(c, F.col(f"{name}{i}")) for i, c in enumerate(columns)])

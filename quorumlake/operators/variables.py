@@ -88,15 +88,16 @@ def _aggregate(frame: Frame, spec: Mapping[str, Any], resolver: Resolver) -> Var
     if kind == "count":
         return _kept(frame, bits, F.when(bits == 0, n))
     x = bits.bitwiseOR(pooled["bad"])
-    value = {"max": pooled["hi"], "min": pooled["lo"], "mean": pooled["sum"] / pooled["k"]}[kind]
+    value = {"max": pooled["hi"], "min": pooled["lo"], "mean": F.when(pooled["odd"] > 0, pooled["near"]).otherwise(pooled["sum"].cast("double")) / pooled["k"]}[kind]
     if "empty" in spec:
         return _kept(frame, x, F.when(x == 0, F.coalesce(value, F.lit(spec["empty"]))))
     x = F.when((x == 0) & (pooled["k"] == 0), BIT["NO_ROWS"]).otherwise(x)
     return _kept(frame, x, F.when(x == 0, value))
 
 
-#: What goes up a pooling path: rows, rows with a value, their sum and extremes, bits of bad values.
-_PAYLOAD = ("n", "k", "sum", "lo", "hi", "bad")
+#: What goes up a pooling path: rows, rows with a value, their sum in fixed point, how many don't fit that, the sum in
+#: floating point for those, extremes, bits of bad values.
+_PAYLOAD = ("n", "k", "sum", "odd", "near", "lo", "hi", "bad")
 
 
 def pool(frame: Frame, path: tuple[Step, ...], where: tuple[Clause, ...], column: Any, lift: str) -> dict[str, Column]:
@@ -114,9 +115,12 @@ def pool(frame: Frame, path: tuple[Step, ...], where: tuple[Clause, ...], column
             order = F.array(*[F.lit(v) for v in column.permissible]) if column.ordered else None
             cell = cell if order is None else F.nullif(F.array_position(order, cell), F.lit(0))
         has = pooled & (state == PRESENT) & cell.isNotNull()
-        number = cell.cast("decimal(38,12)") if column is not None and column.datatype in ("number", "integer", "time_offset") else F.lit(None).cast("decimal(38,12)")
+        numeric = column is not None and column.datatype in ("number", "integer", "time_offset")
+        fixed = F.when(F.abs(cell.cast("double")) < 1e18, cell.cast("decimal(38,12)")) if numeric else F.lit(None).cast("decimal(38,12)")  # sums of 10^8 such values fit
+        double = cell.cast("double") if numeric else F.lit(None).cast("double")
+        odd = fixed.isNull() | (fixed.cast("double") != double)
         sums = {
-            "reasons": F.bit_or(F.when(w.v == UNKNOWN, w.r)), "kept": F.count(F.lit(1)), "n": F.count_if(pooled), "k": F.count_if(has), "sum": F.sum(F.when(has, number)),
+            "reasons": F.bit_or(F.when(w.v == UNKNOWN, w.r)), "kept": F.count(F.lit(1)), "n": F.count_if(pooled), "k": F.count_if(has), "sum": F.sum(F.when(has & ~odd, fixed)), "odd": F.count_if(has & odd) if numeric else F.lit(0), "near": F.sum(F.when(has, double)),
             "lo": F.min(F.when(has, cell)), "hi": F.max(F.when(has, cell)), "bad": F.bit_or(F.when(pooled & ~state.isin(PRESENT, NOT_APPLICABLE), excluded_by(state)).when(pooled & (state == PRESENT) & cell.isNull(), BIT["NO_INFORMATION"])),
         }
     else:
@@ -125,7 +129,7 @@ def pool(frame: Frame, path: tuple[Step, ...], where: tuple[Clause, ...], column
         child.df = child.df.withColumns({got[k]: below[k] for k in got})
         r = F.col(got["reasons"])
         kept = ~((r > 0) & (r.bitwiseAND(F.lit(~DROPS[lift] & 0xFF)) == 0))
-        up = {"n": F.sum, "k": F.sum, "sum": F.sum, "lo": F.min, "hi": F.max, "bad": F.bit_or}
+        up = {"n": F.sum, "k": F.sum, "sum": F.sum, "odd": F.sum, "near": F.sum, "lo": F.min, "hi": F.max, "bad": F.bit_or}
         sums = {"reasons": F.bit_or(F.when(kept, r)), "kept": F.count_if(kept)} | {k: f(F.when(kept, F.col(got[k]))) for k, f in up.items()}
     name = frame.fresh("pool")
     fk = [F.col(c).alias(f"{name}fk{i}") for i, c in enumerate(down.rel.columns)]
@@ -137,8 +141,8 @@ def pool(frame: Frame, path: tuple[Step, ...], where: tuple[Clause, ...], column
     reasons = F.coalesce(F.col(name + "reasons"), F.lit(0)).bitwiseOR(why)
     if not last:
         reasons = reasons.bitwiseOR(F.when(F.coalesce(F.col(name + "kept"), F.lit(0)) == 0, BIT["NOT_COVERED"]).otherwise(0))
-    zero = {k: F.coalesce(F.col(name + k), F.lit(0)) for k in ("n", "k", "bad")}
-    kept_names = {"reasons": reasons, **zero, "sum": F.col(name + "sum"), "lo": F.col(name + "lo"), "hi": F.col(name + "hi")}
+    zero = {k: F.coalesce(F.col(name + k), F.lit(0)) for k in ("n", "k", "odd", "bad")}
+    kept_names = {"reasons": reasons, **zero, "sum": F.col(name + "sum"), "near": F.col(name + "near"), "lo": F.col(name + "lo"), "hi": F.col(name + "hi")}
     out = {k: frame.fresh("p" + k) for k in kept_names}
     frame.df = frame.df.withColumns({out[k]: c for k, c in kept_names.items()})
     return {k: F.col(v) for k, v in out.items()}

@@ -761,9 +761,9 @@ def gate_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.dangling(made, testdata.REL[EVENTS]).select("event_id")
 
 
-@query("SELECT doc_id, count(*) AS n FROM labels GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def gate_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.cardinality_violated(testdata.release(spark, sf_dir), testdata.REL[LABELS])
+    return gate.cardinality_violated(testdata.release(spark, sf_dir), testdata.REL[ORDERS])
 
 
 @query("SELECT count(*) AS n FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'")

@@ -53,20 +53,26 @@ def detect(data: bytes, delimiter: str | None = None) -> Format:
 
 
 def prefix_of(spark: SparkSession, path: str) -> bytes:
-    """The first megabyte, through Spark's own file access."""
-    files = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, PREFIX).alias("c"))
-    return bytes(files.first()["c"])
+    """The first megabyte of the first file, through Spark's own file access; no more of it is read."""
+    first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]
+    at = spark._jvm.org.apache.hadoop.fs.Path(first)
+    stream = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(at)
+    try:
+        return bytes(stream.readNBytes(PREFIX))
+    finally:
+        stream.close()
 
 
 def read_delimited(spark: SparkSession, path: str, given: Format | None = None) -> DataFrame:
-    """All columns as text, named by the header."""
-    form = given or detect(prefix_of(spark, path))
-    options = {"sep": form.delimiter, "encoding": "UTF-16" if form.encoding == "utf-16" else {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(form.encoding, "UTF-8"), "quote": '"', "escape": '"'}
+    """All columns as text, named by the header. What stands before the header is left out by its place in the file, without a sort."""
+    data = prefix_of(spark, path)
+    form = given or detect(data)
+    options = {"sep": form.delimiter, "encoding": "UTF-16" if form.encoding == "utf-16" else {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(form.encoding, "UTF-8"), "quote": '"', "escape": '"', "multiLine": "true"}
     if not form.skip:
-        return spark.read.options(**options, header="true", multiLine="true").csv(path)
-    lines = spark.read.option("encoding", options["encoding"]).text(path).withColumn("at", F.monotonically_increasing_id())
-    body = lines.orderBy("at").offset(form.skip).select("value")
-    header = next(csv.reader([body.first()["value"]], delimiter=form.delimiter))
-    schema = ", ".join(f"`{h}` string" for h in header)
-    rows = body.offset(1).select(F.from_csv("value", F.lit(schema), {"sep": form.delimiter, "quote": '"', "escape": '"'}).alias("r"))
-    return rows.select("r.*")
+        return spark.read.options(**options, header="true").csv(path)
+    records = csv.reader(io.StringIO(data.decode(form.encoding, "replace")), delimiter=form.delimiter)
+    before = sum(1 for _, r in zip(range(form.skip), records, strict=False) if r)  # Spark's reader passes over blank lines
+    schema = ", ".join(f"`{h}` string" for h in next(records))
+    # A file read in records that may span lines is one partition, whose rows are numbered in order.
+    rows = spark.read.options(**options, header="false").schema(schema).csv(path).withColumn("at", F.monotonically_increasing_id())
+    return rows.where(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) > before).drop("at")

@@ -165,3 +165,42 @@ def test_documents():
         assert refused.value.code == code
     with pytest.raises(Refusal):
         parse('{"dataset": "d", "dataset": "e", "unit": "u", "cohorts": {}}')
+
+
+def test_log_rank_with_delayed_entry_counts_who_is_there(spark):
+    """Those at risk at each event, counted row by row."""
+    rows = [("a", 3.0, 1, 0.0), ("a", 8.0, 1, 5.0), ("a", 9.0, 0, 0.0), ("b", 4.0, 1, 0.0), ("b", 6.0, 1, 3.5), ("b", 10.0, 1, 7.0), ("b", 12.0, 0, 1.0)]
+    risks = {"a": [], "b": []}
+    for r in survival.risk_table(spark.createDataFrame(rows, "cohort string, time double, event int, entry double")).orderBy("cohort", "time").collect():
+        risks[r.cohort].append((r.time, r.d, r.c, r.n))
+    expected = [0.0, 0.0]
+    for t in sorted({r[1] for r in rows if r[2]}):
+        n = [sum(c == g and e < t <= u for c, u, _, e in rows) for g in "ab"]
+        d = sum(u == t and v for _, u, v, _ in rows)
+        for i in range(2):
+            expected[i] += d * n[i] / sum(n)
+    assert survival.log_rank(list(risks.values()))["expected"] == pytest.approx(expected)
+
+
+def test_unit_factors_are_rounded_once():
+    assert (factor("mg", "ug"), factor("ug", "kg"), factor("cm", "km")) == (1000.0, 1e-9, 1e-5)
+
+
+def test_bootstrap_of_a_large_multiset_is_quick_and_near():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    a, b = [[(float(v), 1) for v in rng.normal(m, 1, 301)] for m in (2, 0)]
+    low, high = stats.bootstrap_medians(a, b, "seed")
+    assert low < 2 < high and high - low < 1
+    huge = [(0.0, 10**12), (1.0, 10**12 + 1)]
+    assert stats.bootstrap_medians(huge, [(0.0, 10**12)], "seed")[0] in (0.0, 0.5, 1.0)
+
+
+def test_suppression_leaves_no_complement():
+    from quorumlake import disclosure
+
+    assert disclosure.suppressed_counts(500, 3, 2, 10) == (None, None, None)
+    assert disclosure.suppressed_counts(500, 3, 0, 10) == (None, None, 0)
+    assert disclosure.suppressed_counts(500, 30, 20, 10) == (500, 30, 20)
+    assert disclosure.merged_bins([0, 3, 0], 10) == [(0, 0, 0), (1, 1, 3), (2, 2, 0)]

@@ -154,3 +154,43 @@ def test_pack_analysis(spark):
     assert out["views"][0]["values"] == {"n": 150}
     with pytest.raises(Refusal):
         made.run(doc("customer", [{"analysis": "none"}], a={"all": []}))
+
+
+def test_quoted_newlines_after_a_preamble(spark, tmp_path):
+    from quorumlake.sources.delimited import read_delimited
+
+    (tmp_path / "t.csv").write_text('# note\n\n# more\na,b\n1,"x\ny"\n2,z\n')
+    assert [tuple(r) for r in read_delimited(spark, str(tmp_path / "t.csv")).collect()] == [("1", "x\ny"), ("2", "z")]
+
+
+def test_means_of_tiny_and_huge_values(spark):
+    from quorumlake.model import Coverage, Relationship, Release, table_from
+    from quorumlake.operators.compile import Frame
+    from quorumlake.operators.variables import variable
+    from quorumlake.plans.resolve import Resolver
+
+    values = {1: [1e-14, 3e-14], 2: [1e27, 3e27], 3: [0.1, 0.2, 0.3], 4: [1e18, 1.0], 5: [-5e-324, 5e-324]}
+    rel = Relationship("parts", ("whole",), "wholes", ("whole",))
+    tables = {"wholes": table_from("wholes", spark.createDataFrame([(k,) for k in values], "whole long"), ("whole",)), "parts": table_from("parts", spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "whole long, size double"))}
+    made = Release("r", tables, (rel,), {rel.id: Coverage("all")})
+    frame = Frame(made, "wholes")
+    v = variable(frame, {"aggregate": "mean", "column": "parts.size"}, Resolver(made, "wholes"))
+    got = {r.whole: float(r.val) for r in frame.df.select("whole", v.val.alias("val")).collect()}
+    assert got == pytest.approx({1: 2e-14, 2: 2e27, 3: 0.2, 4: 5e17, 5: 0.0}, rel=1e-15)
+
+
+def test_nothing_leaks_under_a_least_count(spark):
+    """Analyses refuse or hold back what a hidden count would follow from."""
+    from quorumlake import testdata
+    from quorumlake.engine import Engine
+    from quorumlake.model import Refusal
+
+    engine = Engine(testdata.release(spark, "/root/testdata/sf0.001"), least=1000)
+    document = {"dataset": "tpch", "unit": "customer", "cohorts": {"a": {"all": []}}, "views": [
+        {"id": "v", "analysis": "summary.distribution", "params": {"variables": [{"column": "customer.c_mktsegment"}, {"column": "customer.c_acctbal"}]}}]}
+    from quorumlake.plans.document import parse
+
+    doc = parse(document)
+    assert engine.summary_distribution(doc, doc.views[0])["variables"] == [{"a": {"suppressed": True}}] * 2
+    with pytest.raises(Refusal):
+        engine._endpoint({"params": {"endpoint": "ep"}})
