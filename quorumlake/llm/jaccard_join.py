@@ -233,13 +233,13 @@ def bucket_links(distinct: DataFrame, round_: int) -> DataFrame:
     """
     sigs, rows, leaves, links, used = distinct.select("sid", "sig"), distinct, None, None, []
     for level, name in enumerate(levels(round_)):
-        met = _nodes(rows, name)
+        met = stored(_nodes(rows, name), "nodes")  # counted and joined from: made once
         drawn = F.xxhash64("node", "sid")
         counts = stored(met.groupBy("run", "node").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("least")).where("n > 1"), "buckets")
         large = F.col("n") > SMALL
         size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(large, F.col("n"))), F.lit(0)).alias("large")).first()
         kept = stored(keyed_join(met.select("sid", "node"), counts, "node", "n", size["all"]), "met")
-        used += [counts, kept]
+        used += [met, counts, kept]
         ready = kept.where(~large).select("sid", "node", "n")
         leaves = ready if leaves is None else leaves.unionByName(ready)
         if not size["large"]:
