@@ -52,7 +52,7 @@ THRESHOLD = 0.8
 RUNS = 8
 DEPTH = 4
 TARGET = 0.999
-SMALL = 512
+SMALL = 64
 BLOCK, BLOCK_TOKENS = 2_048, 1 << 22
 SIGNATURE = 64
 #: Signature places in which two sets must agree to be linked: 5 deviations under what the threshold leads to expect.
