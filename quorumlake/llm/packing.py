@@ -6,8 +6,10 @@
 3. On the driver, from the histogram alone: solve the covering LP over
    configurations (multisets of length classes that fit a sequence) with
    multiplicative weights, a knapsack dynamic programme pricing each round;
-   round it; then best-fit the rest, length by length, into the gaps. Sequences
-   with equal contents are one run, so the work doesn't depend on how many there are.
+   round it; then best-fit the rest, length by length, into the gaps. Short lengths are
+   priced in lots of equal pieces; the programme is solved with and without them, its configurations are
+   rounded with the lots and with short pieces going one by one into the gaps, and the plan with the fewest sequences stays. Sequences with equal contents are one run, so the work
+   doesn't depend on how many there are.
 4. Rank the pieces of each length in salted groups and look their places up in the
    runs. A length that a third of the rows share is split over many groups.
 
@@ -36,7 +38,7 @@ from quorumlake.llm.common import slices, slots, stored
 
 CAPACITY = 4096
 END_ID = 1
-#: Lengths under 1/16 of a sequence stay out of the LP and fill gaps.
+#: Lengths under 1/16 of a sequence enter the LP in lots: the fewest pieces of one length that make 1/16 of a sequence.
 SMALL = 16
 #: Tokens in a length class of the LP, rounds of multiplicative weights, and their step.
 CLASS = 8
@@ -138,23 +140,32 @@ class Plan:
 
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The best multiset for a sequence: an unbounded knapsack by dynamic programming over the capacity."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(int(sizes[0]), capacity + 1):  # sizes ascend
-        k = int(np.searchsorted(sizes, c, side="right"))
-        gains = values[:k] + best[c - sizes[:k]]
-        i = int(gains.argmax())
-        if gains[i] > best[c - 1]:
-            best[c], took[c] = gains[i], i
-        else:
-            best[c], took[c] = best[c - 1], -2
-    counts, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0 and took[c] != -1:
-        if took[c] == -2:
-            c -= 1
-        else:
-            counts[took[c]] += 1
-            c -= int(sizes[took[c]])
+    """The best multiset for a sequence: an unbounded knapsack by dynamic programming over the capacity.
+
+    The best for up to 2k pieces is the best split of the capacity into two bests for up to k, all capacities at once.
+    """
+    counts = np.zeros(len(sizes), np.int64)
+    order = np.argsort(values, kind="stable")
+    order = order[sizes[order] <= capacity]
+    if not len(order):
+        return 0.0, counts
+    item, one = np.full(capacity + 1, -1), np.zeros(capacity + 1)
+    item[sizes[order]] = order  # the dearest of a size
+    one[sizes[order]] = np.where(values[item[sizes[order]]] > 0, values[item[sizes[order]]], 0)
+    best = np.maximum.accumulate(one)
+    item = item[np.maximum.accumulate(np.where(one == best, np.arange(capacity + 1), 0))]
+    half, splits = capacity // 2, []
+    for _ in range((capacity // int(sizes.min()) - 1).bit_length()):
+        rest = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(half, -np.inf), best]), half + 1)[:, ::-1]
+        both = rest + best[: half + 1]
+        splits.append(both.argmax(1))
+        best = both[np.arange(capacity + 1), splits[-1]]
+    rooms = [capacity]
+    for split in reversed(splits):
+        rooms = [r for room in rooms for r in (int(split[room]), room - int(split[room]))]
+    for room in rooms:
+        if item[room] >= 0:
+            counts[item[room]] += 1
     return float(best[capacity]), counts
 
 
@@ -188,38 +199,53 @@ def solve_lp(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int =
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
     """Places for every piece of a length histogram."""
     left = {k: int(v) for k, v in histogram.items() if v}
-    rank = dict.fromkeys(left, 0)
-    made = Plan()
+    lots = {k: -(-capacity // (SMALL * k)) for k in left}
+    classes: dict[tuple[int, bool], list[int]] = defaultdict(list)  # by rounded size and whether of lots
+    for k in sorted(left):
+        if left[k] >= lots[k]:
+            classes[-(-k * lots[k] // CLASS), lots[k] > 1].append(k)
+    made = []
+    for keys in ([k for k in sorted(classes) if not k[1]], sorted(classes)):  # long pieces alone, then with lots
+        tight = any(m[1].sequences * capacity - sum(k * n for k, n in left.items()) < capacity for m in made)  # no plan has fewer
+        if keys and not tight and (not made or len(keys) > made[0][0]):
+            sizes = np.array([s for s, _ in keys], np.int64)
+            demand = np.array([sum(left[k] // lots[k] for k in classes[c]) for c in keys], float)
+            configs, value, bound = solve_lp(sizes, demand, capacity // CLASS, rounds)
+            # The fullest first, as far as its lengths last.
+            configs = sorted(configs, key=lambda c: (-int(c[0] @ sizes), -c[1], c[0].tobytes()))
+            wanted = [([(key, int(c)) for key, c in zip(keys, counts, strict=True) if c], x) for counts, x in configs]
+            made.append((len(keys), _rounded(left, wanted, classes, lots, capacity), value, bound))
+            if any(short for _, short in keys):  # lots are coarse: short pieces may do better in the gaps
+                wanted = [([w for w in config if not w[0][1]], x) for config, x in wanted]
+                made.append((len(keys), _rounded(left, wanted, classes, lots, capacity), value, bound))
+    if not made:
+        return _rounded(left, [], classes, lots, capacity)
+    _, least, least.lp_value, least.lp_bound = min(made, key=lambda m: m[1].sequences)
+    return least
+
+
+def _rounded(histogram: dict[int, int], wanted: list, classes: dict, lots: dict, capacity: int) -> Plan:
+    """Whole copies of each configuration [(class, how many)], x, and best fit for what they leave."""
+    left, rank, made = dict(histogram), dict.fromkeys(histogram, 0), Plan()
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free tokens -> runs (first sequence, how many)
-    large = sorted(k for k in left if k * SMALL >= capacity)
 
     def place(length: int, n: int, each: int, sequence: int, offset: int) -> None:
         made.placements.append(Placement(length, rank[length], n, each, sequence, offset))
         rank[length] += n
         left[length] -= n
 
-    if large:
-        classes = defaultdict(list)
-        for k in large:
-            classes[-(-k // CLASS)].append(k)
-        sizes = np.array(sorted(classes), np.int64)
-        demand = np.array([sum(left[k] for k in classes[s]) for s in sizes], float)
-        configs, made.lp_value, made.lp_bound = solve_lp(sizes, demand, capacity // CLASS, rounds)
-        # Rounding: whole copies of each configuration, the fullest first, as far as its lengths last.
-        for counts, x in sorted(configs, key=lambda c: (-int(c[0] @ sizes), -c[1], c[0].tobytes())):
-            wanted = [(int(s), int(c)) for s, c in zip(sizes, counts, strict=True) if c]
-            have = min(sum(left[k] for k in classes[s]) // c for s, c in wanted)
-            copies = min(have, int(x) + (x % 1 >= 0.5))
-            _copies(copies, wanted, classes, left, place, made, gaps, capacity)
-
+    for config, x in wanted:
+        if config:
+            have = min(sum(left[k] // lots[k] for k in classes[s]) // c for s, c in config)
+            _copies(min(have, int(x) + (x % 1 >= 0.5)), config, classes, lots, left, place, made, gaps, capacity)
     _best_fit(left, gaps, made, place, capacity)
     return made
 
 
-def _copies(copies: int, wanted: list, classes: dict, left: dict, place: Callable, made: Plan, gaps: dict, capacity: int) -> None:
+def _copies(copies: int, wanted: list, classes: dict, lots: dict, left: dict, place: Callable, made: Plan, gaps: dict, capacity: int) -> None:
     """Whole copies of one configuration. A class mixes lengths, so the copies split into runs of equal contents."""
     while copies > 0:
-        chosen, run, spare = [], copies, dict(left)
+        chosen, run, spare = [], copies, {k: n // lots[k] for k, n in left.items()}
         for s, c in wanted:
             todo = c
             for k in sorted(classes[s], reverse=True):
@@ -235,8 +261,8 @@ def _copies(copies: int, wanted: list, classes: dict, left: dict, place: Callabl
         at, sequence = 0, made.sequences
         made.sequences += run
         for k, n in chosen:
-            place(k, run * n, n, sequence, at)
-            at += n * k
+            place(k, run * n * lots[k], n * lots[k], sequence, at)
+            at += n * lots[k] * k
         if at < capacity:
             gaps[capacity - at].append((sequence, run))
         copies -= run

@@ -111,6 +111,22 @@ def test_plans_are_gapless_and_near_the_bound(seed):
     assert len(used) == made.sequences <= 1.02 * sum(k * n for k, n in histogram.items()) / 512 + 2
 
 
+@pytest.mark.parametrize("histogram", [{20: 900, 31: 400, 5: 77}, {1: 5000}, {30: 500, 171: 300, 257: 200}, {512: 3, 1: 1}, {}])
+def test_short_pieces_are_priced_in_lots(histogram):
+    made = packing.plan(histogram, 512, 200)
+    ranks, used = Counter(), defaultdict(int)
+    for p in made.placements:
+        assert p.rank == ranks[p.length]
+        ranks[p.length] += p.n
+        for j in range(p.n):
+            used[p.sequence + j // p.each] += p.length
+    assert ranks == Counter(histogram)
+    assert sorted(used) == list(range(made.sequences)) and all(n <= 512 for n in used.values())
+    assert not histogram or made.lp_value > 0
+    whole = sum(-(-n // (512 // k)) for k, n in histogram.items())  # each length in its own sequences
+    assert made.sequences <= whole
+
+
 def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
