@@ -37,7 +37,7 @@ def date_diff(start: Column, end: Column, units: str = "d") -> Column:
     if UNITS.get(units, ("",))[0] != "time":
         raise Refusal("UNITS_INCOMPATIBLE", units)
     micros = [F.unix_micros(c.cast("timestamp")) for c in (end, start)]
-    return (micros[0] - micros[1]).cast("double") / F.lit(1e6 * UNITS[units][1])
+    return (micros[0] - micros[1]).cast("double") / F.lit(1e6 * factor(units, "s"))
 
 
 def arith(op: str, a: Column, b: Column, integers: bool = False) -> Column:

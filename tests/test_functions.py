@@ -87,6 +87,14 @@ def test_risk_table_with_late_entry(spark):
     assert [(r["time"], r["n"]) for r in got] == want
 
 
+def test_date_difference_in_every_unit_of_time(spark):
+    frame = spark.sql("SELECT date'2001-01-01' AS a, timestamp_ntz'2001-01-08 12:00:00' AS b")
+    for unit, seconds in {"s": 1, "min": 60, "h": 3600, "d": 86400, "wk": 604800, "mo": 2629800, "a": 31557600}.items():
+        assert frame.select(derive.date_diff(F.col("a"), F.col("b"), unit)).first()[0] == 648000 / seconds
+    with pytest.raises(Refusal):
+        derive.date_diff(F.col("a"), F.col("b"), "kg")
+
+
 def test_cox_finds_the_effect_and_separation():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 1))
