@@ -32,11 +32,17 @@ def derived(frame: DataFrame, name: str, inputs: Sequence[str], value: Column) -
     return frame.withColumn(name, F.when(F.col(f"{name}__state") == PRESENT, F.col("_value"))).drop("_value")
 
 
+def _micros(c: Column) -> Column:
+    """Microseconds since 1970; dates and times without a zone are UTC's, whatever the session's zone."""
+    since = (c.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second").cast("decimal(18,6)")
+    return F.when(F.typeof(c).isin("date", "timestamp_ntz"), (since * 1_000_000).cast("bigint")).otherwise(F.unix_micros(c.cast("timestamp")))
+
+
 def date_diff(start: Column, end: Column, units: str = "d") -> Column:
-    """end less start; dates stand for their midnight in UTC."""
+    """end less start; dates stand for their midnight in UTC, times without a zone for that time in UTC."""
     if UNITS.get(units, ("",))[0] != "time":
         raise Refusal("UNITS_INCOMPATIBLE", units)
-    micros = [F.unix_micros(c.cast("timestamp")) for c in (end, start)]
+    micros = [_micros(c) for c in (end, start)]
     return (micros[0] - micros[1]).cast("double") / F.lit(1e6 * factor(units, "s"))
 
 

@@ -708,7 +708,7 @@ def cox_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, round((epoch_us(TIMESTAMP '1998-12-31') - epoch_us(o_orderdate)) / 86400000000.0, 6) AS days FROM orders")
 def derived_date_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = testdata.read(spark, sf_dir, "orders")
-    made = derive.derived(orders, "days", ["o_orderdate"], derive.date_diff(F.col("o_orderdate"), F.lit("1998-12-31").cast("timestamp"), "d"))
+    made = derive.derived(orders, "days", ["o_orderdate"], derive.date_diff(F.col("o_orderdate"), F.lit("1998-12-31").cast("date"), "d"))
     return made.select("o_orderkey", _rounded(F.col("days")).alias("days"))
 
 

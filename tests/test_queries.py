@@ -35,6 +35,16 @@ def test_query(spark, db, name):
         assert normal(out) == normal(want)
 
 
+def test_date_difference_in_another_zone(spark, db):
+    """Summer time of the session's zone is no part of a difference between days."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        out = QUERIES["derived_date_diff"](spark, SF).toPandas()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert normal(out) == normal(db.execute(SQL["derived_date_diff"]).fetchdf())
+
+
 def test_entry(spark):
     assert driver.entry(spark).first().asDict() == {"n_true": 34, "n_false": 116, "n_unknown": 0}
 
