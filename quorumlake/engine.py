@@ -22,7 +22,7 @@ from quorumlake.plans.document import MAX_PREDICATES, MAX_VARIABLES, Document, p
 from quorumlake.plans.resolve import Resolver
 
 MIN_GROUP_N, MIN_EVENTS, EVENTS_PER_TERM, PH_LEVEL = 10, 5, 10, 0.05
-MAX_CATEGORIES, BINS, MAX_PAGE, MAX_INPUT = 150, 10, 1_000, 1_000_000
+MAX_CATEGORIES, BINS, MAX_PAGE = 150, 10, 1_000
 
 #: Analyses that packs add: name -> function of (engine, document, view).
 Analysis = Callable[["Engine", Document, Mapping[str, Any]], dict]
@@ -282,27 +282,24 @@ class Engine:
         rows = frame.df.where(whole & event.isNotNull() & (F.col(endpoint.time) >= 0))
         late = []
         if endpoint.entry:
-            late = [F.col(endpoint.entry).cast("double")]
+            late = [F.col(endpoint.entry).cast("double").alias("entry")]
             rows = rows.where(F.col(endpoint.entry) < F.col(endpoint.time))
-        most = MAX_INPUT // (len(terms) + len(strata) + len(late) + 2)
-        if rows.limit(most + 1).count() > most:
-            raise Refusal("INPUT_TOO_LARGE", f"over {MAX_INPUT} cells")
-        cells = rows.select(F.col(endpoint.time).cast("double"), event, *[t.val.cast("double") for t in terms], *late, *[t.val.cast("string") for t in strata]).collect()
-        if not cells:
-            return {"reason": "no_units"}
-        wide = 2 + len(terms)
-        got = np.array([tuple(r)[:wide] for r in cells], float)
-        sets: dict[str, np.ndarray] = {"entry": np.array([r[wide] for r in cells], float)} if late else {}
-        if strata:
-            places: dict[tuple, int] = {}
-            sets["strata"] = np.array([places.setdefault(tuple(r)[wide + len(late) :], len(places)) for r in cells])
-        fit = survival.cox(got[:, 0], got[:, 1], got[:, 2:], **sets)
-        if "reason" in fit:
-            return fit
+        stratum = F.to_json(F.array(*[t.val.cast("string") for t in strata])) if strata else F.lit("")
+        rows = rows.select(stratum.alias("stratum"), F.col(endpoint.time).cast("double").alias("time"), event.alias("event"), *[t.val.cast("double").alias(f"x{i}") for i, t in enumerate(terms)], *late).persist()
+        try:
+            model = survival.CoxRows(rows, len(terms))
+            model.prepare()
+            if not model.n:
+                return {"reason": "no_units"}
+            fit = model.fit()
+            if "reason" in fit:
+                return fit
+            ph = model.proportional_hazards(fit)
+        finally:
+            rows.unpersist()
         z = stats.z_of(view["params"].get("level", 0.95))
         bounds = [(float(np.exp(b - z * s)), float(np.exp(b + z * s))) for b, s in zip(fit["beta"], fit["se"], strict=True)]
-        ph = survival.proportional_hazards(got[:, 0], got[:, 1], got[:, 2:], fit, **sets)
-        return fit | {"n": len(got), "events": int(got[:, 1].sum()), "intervals": bounds, "ph_p": ph, "ph_violated": [p < PH_LEVEL for p in ph], "few_events": got[:, 1].sum() < EVENTS_PER_TERM * len(terms)}
+        return fit | {"n": model.n, "events": model.events, "intervals": bounds, "ph_p": ph, "ph_violated": [p < PH_LEVEL for p in ph], "few_events": model.events < EVENTS_PER_TERM * len(terms)}
 
 
 def _is_number(v: Any) -> bool:

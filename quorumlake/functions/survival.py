@@ -2,17 +2,19 @@
 
 The heavy part, the table of times with their events and numbers at risk, is an
 aggregation and a window in Spark (:func:`risk_table`); what is left is a recursion
-over distinct times.
+over distinct times. A Cox model's rows stay in Spark (:class:`CoxRows`); :func:`cox` and
+:func:`proportional_hazards` say the same of arrays.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -112,6 +114,40 @@ def log_rank(groups: Sequence[Risk]) -> dict | None:
     return {"chi2": x, "df": len(used) - 1, "p": upper_gamma((len(used) - 1) / 2, x / 2), "observed": observed.tolist(), "expected": expected.tolist()}
 
 
+Derivatives = Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]]  # coefficients -> log likelihood, its gradient, information
+
+
+def _newton(derivatives: Derivatives, spread: np.ndarray, rounds: int) -> dict:
+    """The largest likelihood by Newton's method with halved steps; ``spread``: the covariates' deviations."""
+    beta = np.zeros(len(spread))
+    value, grad, hess = start = derivatives(beta)
+    if not math.isfinite(value):
+        return {"reason": "not_converged"}
+    for _ in range(rounds):
+        try:
+            step = np.linalg.solve(hess, grad)
+        except np.linalg.LinAlgError:
+            return {"reason": "separation"}
+        scale = 1.0
+        while scale > 1e-6:
+            new = derivatives(beta + scale * step)
+            if new[0] >= value - 1e-12 * (1 + abs(value)):
+                break
+            scale /= 2
+        beta = beta + scale * step
+        done = abs(new[0] - value) < 1e-9 * (abs(value) + 1e-9)
+        value, grad, hess = new
+        if np.abs(beta * spread).max() > 15:
+            return {"reason": "separation"}
+        if done:
+            break
+    else:
+        return {"reason": "not_converged"}
+    cov = np.linalg.inv(hess)
+    se = np.sqrt(np.diag(cov))
+    return {"beta": beta.tolist(), "se": se.tolist(), "hazard_ratio": np.exp(beta).tolist(), "log_likelihood": value, "null_log_likelihood": start[0], "score": float(start[1] @ np.linalg.pinv(start[2]) @ start[1]), "covariance": cov.tolist()}
+
+
 def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, entry: np.ndarray | None = None, strata: np.ndarray | None = None, rounds: int = 30) -> dict:
     """A Cox model by Newton's method with Efron's ties; ``reason`` says why there is none."""
     n, p = x.shape
@@ -119,8 +155,7 @@ def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, entry: np.ndarray |
         return {"reason": "no_events"}
     entry = np.full(n, -np.inf) if entry is None else entry
     strata = np.zeros(n, int) if strata is None else strata
-    beta, centre = np.zeros(p), x.mean(0)
-    xc = x - centre
+    xc = x - x.mean(0)
 
     def derivatives(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         value, grad, hess = 0.0, np.zeros(p), np.zeros((p, p))
@@ -144,30 +179,7 @@ def cox(time: np.ndarray, event: np.ndarray, x: np.ndarray, entry: np.ndarray |
                     hess += a2 / a0 - np.outer(a1, a1) / a0**2
         return value, grad, hess
 
-    value, grad, hess = start = derivatives(beta)
-    for _ in range(rounds):
-        try:
-            step = np.linalg.solve(hess, grad)
-        except np.linalg.LinAlgError:
-            return {"reason": "separation"}
-        scale = 1.0
-        while scale > 1e-6:
-            new = derivatives(beta + scale * step)
-            if new[0] >= value - 1e-12:
-                break
-            scale /= 2
-        beta = beta + scale * step
-        done = abs(new[0] - value) < 1e-9 * (abs(value) + 1e-9)
-        value, grad, hess = new
-        if np.abs(beta * x.std(0)).max() > 15:
-            return {"reason": "separation"}
-        if done:
-            break
-    else:
-        return {"reason": "not_converged"}
-    cov = np.linalg.inv(hess)
-    se = np.sqrt(np.diag(cov))
-    return {"beta": beta.tolist(), "se": se.tolist(), "hazard_ratio": np.exp(beta).tolist(), "log_likelihood": value, "null_log_likelihood": start[0], "score": float(start[1] @ np.linalg.pinv(start[2]) @ start[1]), "covariance": cov.tolist()}
+    return _newton(derivatives, x.std(0), rounds)
 
 
 def proportional_hazards(time: np.ndarray, event: np.ndarray, x: np.ndarray, fit: dict, entry: np.ndarray | None = None, strata: np.ndarray | None = None) -> list[float]:
@@ -188,3 +200,104 @@ def proportional_hazards(time: np.ndarray, event: np.ndarray, x: np.ndarray, fit
     scaled = r @ v * len(r)
     top = (g @ scaled) ** 2
     return [upper_gamma(0.5, float(top[j] / (len(r) * v[j, j] * (g @ g))) / 2) if g @ g > 0 else 1.0 for j in range(x.shape[1])]
+
+
+#: Rows of one task of the sums over later times grow as the square root of all rows; deaths at one time that are summed in one go.
+BLOCK, TOGETHER = 1000, 4096
+
+
+class CoxRows:
+    """:func:`cox` of rows (stratum, time, event 0/1, x0 .. x<p-1>, optional entry) that stay in Spark.
+
+    For given coefficients: one aggregation by stratum and time, then sums over a stratum's later times, within blocks
+    of times and with the sums of the later blocks; the driver sees the likelihood's derivatives. With delayed entry
+    the weights of those who enter later are taken off the weights of those who leave later, so a risk set that holds
+    a share s of its stratum's weight is known to about 1e-16 / s.
+    """
+
+    def __init__(self, rows: DataFrame, p: int):
+        self.rows, self.p, self.late = rows, p, "entry" in rows.columns
+        self.pairs = [(i, j) for i in range(p) for j in range(i, p)]
+
+    def prepare(self) -> None:
+        """Numbers, centres and deviations, and the edges of the blocks of times: quantiles."""
+        over = [f(f"x{i}").alias(f"{k}{i}") for i in range(self.p) for k, f in (("avg", F.avg), ("sd", F.stddev_pop), ("low", F.min), ("high", F.max))]
+        r = self.rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("event"), F.lit(0)).alias("events"), *over).first()
+        self.n, self.events, self.edges = r["n"], int(r["events"]), []
+        if self.events:
+            self.centre = [r[f"low{i}"] if r[f"low{i}"] == r[f"high{i}"] else r[f"avg{i}"] for i in range(self.p)]
+            self.spread = np.array([r[f"sd{i}"] for i in range(self.p)])
+            blocks = 1 + math.isqrt(self.n // BLOCK)
+            if blocks > 1:
+                times = self.rows.select("time").union(self.rows.select("entry")) if self.late else self.rows.select("time")
+                self.edges = sorted({q for q in times.approxQuantile("time", [i / blocks for i in range(1, blocks)], 0.2 / blocks) if math.isfinite(q)})
+
+    def risk_sets(self, beta: Sequence[float]) -> DataFrame:
+        """A row for each stratum and time with deaths. s: sums of weights, of weighted covariates and of their products over those at risk; d: over the dead; m: their number; z, eta: plain sums."""
+        z = [(F.col(f"x{i}") - F.lit(c)).alias(f"x{i}") for i, c in enumerate(self.centre)]
+        keys = [F.struct(F.col("time").alias("at"), F.lit(1.0).alias("sign"), F.col("event").cast("double").alias("died"))]
+        if self.late:
+            keys.append(F.struct(F.col("entry").alias("at"), F.lit(-1.0).alias("sign"), F.lit(0.0).alias("died")))
+        eta = sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0))
+        rows = self.rows.select("stratum", F.explode(F.array(*keys)).alias("k"), *z).select("stratum", "k.*", *[f"x{i}" for i in range(self.p)], eta.alias("eta"))
+        w = F.exp(F.greatest(F.lit(-500.0), F.least(F.lit(500.0), "eta")))
+        of = {"": F.lit(1.0)} | {f"{i}": F.col(f"x{i}") for i in range(self.p)} | {f"{i}_{j}": F.col(f"x{i}") * F.col(f"x{j}") for i, j in self.pairs}
+        risk = {f"s{k}": F.sum(F.col("w") * F.col("sign") * v) for k, v in of.items()}
+        dead = {f"d{k}": F.sum(F.col("w") * F.col("died") * v) for k, v in of.items()}
+        plain = {"m": F.sum("died"), "eta": F.sum(F.col("died") * F.col("eta"))} | {f"z{i}": F.sum(F.col("died") * F.col(f"x{i}")) for i in range(self.p)}
+        sums = rows.withColumn("w", w).groupBy("stratum", "at").agg(*[v.alias(k) for k, v in (risk | dead | plain).items()])
+        if self.edges:
+            sums = Bucketizer(splits=[-math.inf, *self.edges, math.inf], inputCol="at", outputCol="block", handleInvalid="keep").transform(sums)
+        else:
+            sums = sums.withColumn("block", F.lit(0.0))
+        later = Window.partitionBy("stratum", "block").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = sums.withColumns({k: F.sum(k).over(later) for k in risk}).where("m > 0")
+        if self.edges:
+            blocks = sums.groupBy("stratum", "block").agg(*[F.sum(k).alias(k) for k in risk])
+            beyond = Window.partitionBy("stratum").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+            blocks = blocks.select("stratum", "block", *[F.coalesce(F.sum(k).over(beyond), F.lit(0.0)).alias(f"{k}_beyond") for k in risk])
+            out = out.join(blocks, ["stratum", "block"]).withColumns({k: F.col(k) + F.col(f"{k}_beyond") for k in risk})
+        return out
+
+    def derivatives(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """As in :func:`cox`: Efron's sums over the dead of a time are of 1, f and f^2 over powers of s - f d, f = 0, 1/m .. (m-1)/m."""
+        m = F.col("m").cast("long")
+        sets = self.risk_sets(beta).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), m - 1, F.lit(TOGETHER).cast("long"))))
+
+        def add(e: Column, j: Column) -> Column:
+            f = j / F.col("m")
+            a = F.col("s") - f * F.col("d")
+            return F.struct((e["l"] + F.log(a)).alias("l"), (e["a"] + 1 / a).alias("a"), (e["b"] + f / a).alias("b"), (e["aa"] + 1 / (a * a)).alias("aa"), (e["ab"] + f / (a * a)).alias("ab"), (e["bb"] + f * f / (a * a)).alias("bb"))
+
+        none = F.struct(*[F.lit(0.0).alias(k) for k in ("l", "a", "b", "aa", "ab", "bb")])
+        sets = sets.withColumn("e", F.aggregate(F.sequence("first", F.least(F.col("first") + TOGETHER - 1, m - 1)), none, add))
+        c, once = F.col, F.when(F.col("first") == 0, 1.0).otherwise(0.0)
+        grad = [once * c(f"z{i}") - (c(f"s{i}") * c("e.a") - c(f"d{i}") * c("e.b")) for i in range(self.p)]
+        hess = [
+            c(f"s{i}_{j}") * c("e.a") - c(f"d{i}_{j}") * c("e.b") - (c(f"s{i}") * c(f"s{j}") * c("e.aa") - (c(f"s{i}") * c(f"d{j}") + c(f"d{i}") * c(f"s{j}")) * c("e.ab") + c(f"d{i}") * c(f"d{j}") * c("e.bb"))
+            for i, j in self.pairs
+        ]
+        got = [float(v) for v in sets.agg(*[F.sum(v) for v in (once * c("eta") - c("e.l"), *grad, *hess)]).first()]
+        information = np.zeros((self.p, self.p))
+        for (i, j), v in zip(self.pairs, got[1 + self.p :], strict=True):
+            information[i, j] = information[j, i] = v
+        return got[0], np.array(got[1 : 1 + self.p]), information
+
+    def fit(self, rounds: int = 30) -> dict:
+        return _newton(self.derivatives, self.spread, rounds) if self.events else {"reason": "no_events"}
+
+    def proportional_hazards(self, fit: dict) -> list[float]:
+        """As :func:`proportional_hazards`, from sums over the times with deaths and their ranks, which go through all strata."""
+        sets, v = self.risk_sets(fit["beta"]), np.array(fit["covariance"])
+        times = sets.groupBy("block", "at").agg(F.lit(1).alias("one"))
+        before = [0] * (len(self.edges) + 2)
+        for block, k in times.groupBy("block").count().collect():
+            before[int(block) + 1 :] = [x + k for x in before[int(block) + 1 :]]
+        place = F.row_number().over(Window.partitionBy("block").orderBy("at")) - 1
+        ranks = times.select("at", (place + F.element_at(F.array(*[F.lit(x) for x in before]), F.col("block").cast("int") + 1)).cast("double").alias("g"))
+        c = F.col
+        left = [c(f"z{i}") - c("m") * c(f"s{i}") / c("s") for i in range(self.p)]
+        got = sets.join(ranks, "at").agg(*[F.sum(x) for x in (c("m"), c("m") * c("g"), c("m") * c("g") * c("g"), *left, *[x * c("g") for x in left])]).first()
+        n, g1, g2 = got[:3]
+        g, r = g2 - g1 * g1 / n, np.array(got[3 + self.p :]) - g1 / n * np.array(got[3 : 3 + self.p])
+        return [upper_gamma(0.5, float(n * (r @ v)[j] ** 2 / (v[j, j] * g)) / 2) if g > 0 else 1.0 for j in range(self.p)]

@@ -87,6 +87,29 @@ def test_risk_table_with_late_entry(spark):
     assert [(r["time"], r["n"]) for r in got] == want
 
 
+@pytest.mark.parametrize(("late", "strata"), [(False, 1), (True, 1), (True, 3)])
+def test_cox_of_rows_in_spark(spark, monkeypatch, late, strata):
+    """The same as of arrays, with many blocks of times, and with deaths at one time that are summed in parts."""
+    monkeypatch.setattr(survival, "BLOCK", 4)
+    monkeypatch.setattr(survival, "TOGETHER", 3)
+    rng = np.random.default_rng(5)
+    n = 300
+    x = np.column_stack([rng.normal(40, 3, n), rng.integers(0, 2, n)])
+    time = np.where(rng.random(n) < 0.3, 2.0, np.round(rng.exponential(2 / np.exp(0.2 * (x[:, 0] - 40) + 0.5 * x[:, 1])), 2) + 0.01)
+    event, stratum = (rng.random(n) < 0.7).astype(int), rng.integers(0, strata, n)
+    entry = np.where(rng.random(n) < 0.5, -1.0, np.round(time * rng.random(n) * 0.9, 3) - 0.001)
+    rows = [(str(stratum[i]), float(time[i]), int(event[i]), float(x[i, 0]), float(x[i, 1])) + ((float(entry[i]),) if late else ()) for i in range(n)]
+    model = survival.CoxRows(spark.createDataFrame(rows, "stratum string, time double, event int, x0 double, x1 double" + ", entry double" * late).persist(), 2)
+    model.prepare()
+    got = model.fit()
+    sets = {"entry": entry if late else None, "strata": stratum}
+    want = survival.cox(time, event, x, **sets)
+    assert model.n == n and model.events == event.sum() and len(model.edges) > 4
+    for k in ("beta", "se", "log_likelihood", "null_log_likelihood", "score"):
+        assert got[k] == pytest.approx(want[k], rel=1e-7)
+    assert model.proportional_hazards(got) == pytest.approx(survival.proportional_hazards(time, event, x, want, **sets), rel=1e-6)
+
+
 def test_date_difference_in_every_unit_of_time(spark):
     frame = spark.sql("SELECT date'2001-01-01' AS a, timestamp_ntz'2001-01-08 12:00:00' AS b")
     for unit, seconds in {"s": 1, "min": 60, "h": 3600, "d": 86400, "wk": 604800, "mo": 2629800, "a": 31557600}.items():

@@ -148,6 +148,19 @@ def test_cox_view_of_delayed_entry_and_strata(spark):
     assert got["ph_p"] == pytest.approx(survival.proportional_hazards(time, event, x[:, None], want, entry, strata), rel=1e-6)
 
 
+def test_cox_view_of_more_than_a_million_cells(spark):
+    release = testdata.follow_up(spark, SF)
+    ep, k, n = release.endpoints["ep:last_order"], F.col("id"), 350_000
+    columns = {"c_custkey": k, ep.time: (k * 7919 % 5 + 1).cast("double"), ep.status: F.when(k * 31 % 11 < 7, ep.events[0]).otherwise(ep.censored[0]), "c_acctbal": (k * 17 % 13).cast("double")}
+    table = release.tables["customer"]
+    table.frame = spark.range(n).select(*[columns.get(c, F.lit(None).cast(t)).alias(c) for c, t in table.frame.dtypes])
+    params = {"endpoint": "ep:last_order", "variables": [{"column": "customer.c_acctbal"}]}
+    got = Engine(release).run(doc("customer", a={"all": []}) | {"views": [{"analysis": "survival.cox", "cohorts": ["a"], "params": params}]})["views"][0]["values"]
+    i = np.arange(n)
+    want = survival.cox(i * 7919 % 5 + 1.0, (i * 31 % 11 < 7).astype(int), (i * 17 % 13)[:, None].astype(float))
+    assert got["n"] == n and got["beta"] == pytest.approx(want["beta"], rel=1e-6) and got["se"] == pytest.approx(want["se"], rel=1e-6)
+
+
 def test_pack_analysis(spark):
     made = Engine(testdata.release(spark, SF), analyses={"shop.total": lambda e, d, v: {"n": e.units(d, "a").count()}})
     out = made.run(doc("customer", [{"analysis": "shop.total"}], a={"all": []}))
