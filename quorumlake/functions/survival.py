@@ -202,8 +202,8 @@ def proportional_hazards(time: np.ndarray, event: np.ndarray, x: np.ndarray, fit
     return [upper_gamma(0.5, float(top[j] / (len(r) * v[j, j] * (g @ g))) / 2) if g @ g > 0 else 1.0 for j in range(x.shape[1])]
 
 
-#: Rows of one task of the sums over later times grow as the square root of all rows; deaths at one time that are summed in one go.
-BLOCK, TOGETHER = 1000, 4096
+#: Blocks of times, and the times of one, grow as the square root of all times; deaths at one time that are summed in one go.
+BLOCK, TOGETHER = 100, 4096
 
 
 class CoxRows:
@@ -220,17 +220,19 @@ class CoxRows:
         self.pairs = [(i, j) for i in range(p) for j in range(i, p)]
 
     def prepare(self) -> None:
-        """Numbers, centres and deviations, and the edges of the blocks of times: quantiles."""
+        """Numbers, centres and deviations, and the edges of the blocks of times: quantiles of the distinct ones."""
         over = [f(f"x{i}").alias(f"{k}{i}") for i in range(self.p) for k, f in (("avg", F.avg), ("sd", F.stddev_pop), ("low", F.min), ("high", F.max))]
-        r = self.rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("event"), F.lit(0)).alias("events"), *over).first()
+        ends = [F.approx_count_distinct(c).alias(f"of_{c}") for c in ("time", "entry")[: 1 + self.late]]
+        r = self.rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("event"), F.lit(0)).alias("events"), *ends, *over).first()
         self.n, self.events, self.edges = r["n"], int(r["events"]), []
         if self.events:
             self.centre = [r[f"low{i}"] if r[f"low{i}"] == r[f"high{i}"] else r[f"avg{i}"] for i in range(self.p)]
             self.spread = np.array([r[f"sd{i}"] for i in range(self.p)])
-            blocks = 1 + math.isqrt(self.n // BLOCK)
+            blocks = 1 + math.isqrt((r["of_time"] + (r["of_entry"] if self.late else 0)) // BLOCK)
             if blocks > 1:
                 times = self.rows.select("time").union(self.rows.select("entry")) if self.late else self.rows.select("time")
-                self.edges = sorted({q for q in times.approxQuantile("time", [i / blocks for i in range(1, blocks)], 0.2 / blocks) if math.isfinite(q)})
+                quantiles = times.distinct().approxQuantile("time", [i / blocks for i in range(1, blocks)], 0.2 / blocks)
+                self.edges = sorted({q for q in quantiles if math.isfinite(q)})
 
     def risk_sets(self, beta: Sequence[float]) -> DataFrame:
         """A row for each stratum and time with deaths. s: sums of weights, of weighted covariates and of their products over those at risk; d: over the dead; m: their number; z, eta: plain sums."""
