@@ -262,28 +262,34 @@ class CoxRows:
         return out
 
     def derivatives(self, beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """As in :func:`cox`: Efron's sums over the dead of a time are of 1, f and f^2 over powers of s - f d, f = 0, 1/m .. (m-1)/m."""
-        m = F.col("m").cast("long")
-        sets = self.risk_sets(beta).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), m - 1, F.lit(TOGETHER).cast("long"))))
+        """As in :func:`cox`, from shares of the weight at risk: Efron's sums over the dead of a time are of 1, f and f^2 over powers of 1 - f d, f = 0, 1/m .. (m-1)/m."""
+        c, m = F.col, F.col("m").cast("long")
+        shares = [f"{k}{v}" for k in "sd" for v in ("", *range(self.p), *[f"{i}_{j}" for i, j in self.pairs]) if k + str(v) != "s"]
+        sets = self.risk_sets(beta).withColumns({k: c(k) / c("s") for k in shares})
+        sets = sets.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), m - 1, F.lit(TOGETHER).cast("long"))))
 
         def add(e: Column, j: Column) -> Column:
-            f = j / F.col("m")
-            a = F.col("s") - f * F.col("d")
+            f = j / c("m")
+            a = 1 - f * c("d")
             return F.struct((e["l"] + F.log(a)).alias("l"), (e["a"] + 1 / a).alias("a"), (e["b"] + f / a).alias("b"), (e["aa"] + 1 / (a * a)).alias("aa"), (e["ab"] + f / (a * a)).alias("ab"), (e["bb"] + f * f / (a * a)).alias("bb"))
 
         none = F.struct(*[F.lit(0.0).alias(k) for k in ("l", "a", "b", "aa", "ab", "bb")])
-        sets = sets.withColumn("e", F.aggregate(F.sequence("first", F.least(F.col("first") + TOGETHER - 1, m - 1)), none, add))
-        c, once = F.col, F.when(F.col("first") == 0, 1.0).otherwise(0.0)
+        sets = sets.withColumn("e", F.aggregate(F.sequence("first", F.least(c("first") + TOGETHER - 1, m - 1)), none, add))
+        once = F.when(c("first") == 0, 1.0).otherwise(0.0)
+        value = once * (c("eta") - c("m") * F.log("s")) - c("e.l")
         grad = [once * c(f"z{i}") - (c(f"s{i}") * c("e.a") - c(f"d{i}") * c("e.b")) for i in range(self.p)]
         hess = [
             c(f"s{i}_{j}") * c("e.a") - c(f"d{i}_{j}") * c("e.b") - (c(f"s{i}") * c(f"s{j}") * c("e.aa") - (c(f"s{i}") * c(f"d{j}") + c(f"d{i}") * c(f"s{j}")) * c("e.ab") + c(f"d{i}") * c(f"d{j}") * c("e.bb"))
             for i, j in self.pairs
         ]
-        got = [float(v) for v in sets.agg(*[F.sum(v) for v in (once * c("eta") - c("e.l"), *grad, *hess)]).first()]
-        information = np.zeros((self.p, self.p))
-        for (i, j), v in zip(self.pairs, got[1 + self.p :], strict=True):
+        squares = [c(f"s{i}_{i}") * c("e.a") for i in range(self.p)]
+        got = np.array(sets.agg(*[F.sum(v) for v in (value, *grad, *squares, *hess)]).first(), float)
+        grad_, squares_, information = got[1 : 1 + self.p], got[1 + self.p : 1 + 2 * self.p], np.zeros((self.p, self.p))
+        for (i, j), v in zip(self.pairs, got[1 + 2 * self.p :], strict=True):
             information[i, j] = information[j, i] = v
-        return got[0], np.array(got[1 : 1 + self.p]), information
+        nothing = np.diag(information) <= 1e-13 * squares_  # what rounding leaves of a covariate that is equal in each risk set
+        information[nothing], information[:, nothing] = 0, 0
+        return float(got[0]), grad_, information
 
     def fit(self, rounds: int = 30) -> dict:
         return _newton(self.derivatives, self.spread, rounds) if self.events else {"reason": "no_events"}

@@ -110,6 +110,13 @@ def test_cox_of_rows_in_spark(spark, monkeypatch, late, strata):
     assert model.proportional_hazards(got) == pytest.approx(survival.proportional_hazards(time, event, x, want, **sets), rel=1e-6)
 
 
+@pytest.mark.parametrize(("event", "x", "reason"), [([0] * 10 + [1] * 10, [0.0] * 10 + [1.0] * 10, "separation"), ([1] * 20, [0.1] * 20, "separation"), ([0] * 20, [0.0] * 10 + [1.0] * 10, "no_events")])
+def test_cox_of_rows_without_a_fit(spark, event, x, reason):
+    model = survival.CoxRows(spark.createDataFrame([("", float(i // 2), event[i], x[i]) for i in range(20)], "stratum string, time double, event int, x0 double"), 1)
+    model.prepare()
+    assert model.fit() == {"reason": reason}
+
+
 def test_date_difference_in_every_unit_of_time(spark):
     frame = spark.sql("SELECT date'2001-01-01' AS a, timestamp_ntz'2001-01-08 12:00:00' AS b")
     for unit, seconds in {"s": 1, "min": 60, "h": 3600, "d": 86400, "wk": 604800, "mo": 2629800, "a": 31557600}.items():
