@@ -65,12 +65,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame | None) -> None:
-    """Deletes stored tables once what was made of them is stored itself."""
+    """Deletes stored tables once what was made of them is stored itself.
+
+    The driver collects its garbage then: until it does, it and the executors keep the broadcasts of the queries that are over.
+    """
+    jvm = None
     for t in tables:
         if (path := getattr(t, "_stored_at", None)) is not None:
             jvm, spark = t.sparkSession._jvm, t.sparkSession
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    if jvm:
+        jvm.System.gc()
 
 
 def slots(spark: SparkSession) -> int:
@@ -104,16 +110,24 @@ def sized_slices(batches: Iterator[pa.RecordBatch], column: str, max_rows: int =
 HEAVY = 5_000
 
 
-def keyed_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int) -> DataFrame:
+def keyed_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int, weighed: bool = True) -> DataFrame:
     """Inner join with right (one row a key, with how many of left's rows it has): heavy keys by broadcast, the rest by key.
 
-    The rest is always merged, so that the plan is the same at every size.
+    The rest is always merged, so that the plan is the same at every size. Where left has the weights, they part its
+    rows; else both parts look the heavy keys up, in one broadcast if all columns are used (weighed=False leaves the weight
+    out): each broadcast costs the driver megabytes and a thread.
     """
     keys = [key] if isinstance(key, str) else key
     line = max(1, total // HEAVY)
     heavy, light = right.where(F.col(weight) > line), right.where(F.col(weight) <= line)
-    rest = left.join(F.broadcast(heavy.select(keys)), keys, "left_anti")  # heavy rows are never dealt by their key
-    return left.join(F.broadcast(heavy), keys).unionByName(rest.join(light.hint("merge"), keys))
+    if weight in left.columns:
+        most = left.where(F.col(weight) > line).join(F.broadcast(heavy.drop(weight)), keys)
+        return most.unionByName(left.where(F.col(weight) <= line).join(light.drop(weight).hint("merge"), keys))
+    values = [c for c in right.columns if c not in keys and (weighed or c != weight)]
+    met = left.join(F.broadcast(heavy.select(*keys, F.struct(values).alias("_heavy"))), keys, "left")
+    rest = met.where("_heavy IS NULL").drop("_heavy")  # heavy rows are never dealt by their key
+    most = met.where("_heavy IS NOT NULL").select(*keys, *[c for c in left.columns if c not in keys], *[F.col("_heavy")[c].alias(c) for c in values])
+    return most.unionByName(rest.join(light.select(*keys, *values).hint("merge"), keys))
 
 
 def unrepeated(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:

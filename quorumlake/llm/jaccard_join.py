@@ -246,7 +246,7 @@ def bucket_links(distinct: DataFrame, round_: int) -> DataFrame:
             break
         heads = kept.where(large & (drawn == F.col("least"))).select("node", "n", "sid").dropDuplicates(["node"])
         heads = stored(heads.join(sigs, "sid").select("node", "n", F.col("sid").alias("rep"), F.col("sig").alias("rep_sig")), "heads")
-        others = keyed_join(kept.where(large).select("sid", "run", "node"), heads, "node", "n", size["large"])
+        others = keyed_join(kept.where(large).select("sid", "run", "node", "n"), heads, "node", "n", size["large"])
         seen = stored(_agreement(others.hint("merge").join(sigs, "sid")), "seen")
         used += [heads, seen]
         near = seen.where((F.col("agree") >= AGREE) & (F.col("sid") != F.col("rep"))).select(F.col("sid").alias("a"), F.col("rep").alias("b"), (F.col("agree") >= EXPECTED).cast("long").alias("sure"))
@@ -279,7 +279,7 @@ def linked_sets(distinct: DataFrame, docs: DataFrame, target: float = TARGET) ->
         size = more.agg(F.count(F.lit(1)).alias("all"), F.coalesce(F.sum("sure"), F.lit(0)).alias("sure")).first()
         tops = more.groupBy("b").agg(F.count(F.lit(1)).alias("k")).join(labels.select(F.col("sid").alias("b"), F.col("comp").alias("known")), "b", "left")
         tops = stored(tops.select("b", "k", F.coalesce("known", "b").alias("comp_b")), "tops")
-        ends = keyed_join(more, tops, "b", "k", size["all"]).join(labels.select(F.col("sid").alias("a"), F.col("comp").alias("comp_a")), "a", "left")
+        ends = keyed_join(more, tops, "b", "k", size["all"], weighed=False).join(labels.select(F.col("sid").alias("a"), F.col("comp").alias("comp_a")), "a", "left")
         fresh = stored(ends.select("sure", "b", F.col("a").alias("sid"), F.coalesce("comp_a", "a").alias("comp_a"), "comp_b").where("comp_a != comp_b"), "fresh")
         new = fresh.agg(F.count(F.lit(1)).alias("all"), F.coalesce(F.sum("sure"), F.lit(0)).alias("sure")).first()
         recall = 1 - new["sure"] / size["sure"] if size["sure"] else 1.0
@@ -390,22 +390,20 @@ def components(links: DataFrame) -> DataFrame:
     written after each round.
     """
     links = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    degrees = stored(links.groupBy("a").agg(F.count(F.lit(1)).alias("deg")), "degrees")
     total = links.count()
-    labels = stored(links.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("least")).select("sid", F.least("sid", "least").alias("comp")), "labels")
+    labels = stored(links.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("deg")).select("sid", F.least("sid", "least").alias("comp"), "deg"), "labels")
     while total:
-        weighed = labels.join(degrees.withColumnRenamed("a", "sid"), "sid")
-        near = keyed_join(links.withColumnRenamed("a", "sid"), weighed.select("sid", "comp", "deg"), "sid", "deg", total).groupBy(F.col("b").alias("sid")).agg(F.min("comp").alias("near"))
-        stepped = labels.join(near, "sid").select("sid", F.least("comp", "near").alias("mid"), F.col("comp").alias("was"))
+        near = keyed_join(links.withColumnRenamed("a", "sid"), labels.select("sid", "comp", "deg"), "sid", "deg", total, weighed=False).groupBy(F.col("b").alias("sid")).agg(F.min("comp").alias("near"))
+        stepped = labels.join(near, "sid").select("sid", F.least("comp", "near").alias("mid"), F.col("comp").alias("was"), "deg")
         stepped, old = stored(stepped, "stepped"), labels
-        sizes = stepped.groupBy("mid").agg(F.count(F.lit(1)).alias("deg")).join(stepped.select(F.col("sid").alias("mid"), F.col("mid").alias("up")), "mid", "left")
-        after = keyed_join(stepped, sizes, "mid", "deg", total)
-        labels = stored(after.select("sid", F.least("mid", F.coalesce("up", "mid")).alias("comp"), "was"), "labels")
+        sizes = stepped.groupBy("mid").agg(F.count(F.lit(1)).alias("k")).join(stepped.select(F.col("sid").alias("mid"), F.col("mid").alias("up")), "mid", "left")
+        after = keyed_join(stepped, sizes, "mid", "k", total, weighed=False)
+        labels = stored(after.select("sid", F.least("mid", F.coalesce("up", "mid")).alias("comp"), "was", "deg"), "labels")
         moved = labels.where(F.col("comp") != F.col("was")).limit(1).count()
         forget(old, stepped)
         if not moved:
             break
-    forget(links, degrees)
+    forget(links)
     out = labels.select("sid", "comp")
     out._stored_at = labels._stored_at
     return out
@@ -494,7 +492,7 @@ def near_duplicates(docs: DataFrame, target: float = TARGET) -> DataFrame:
     known = labels.join(copies.select("sid", "copies", "size", "at_id", "at_hash"), "sid")
     sizes = known.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
-    members = stored(keyed_join(known, sizes.select("comp", "n", parts.alias("parts")), "comp", "n", copies.count()), "members")
+    members = stored(keyed_join(known, sizes.select("comp", "n", parts.alias("parts")), "comp", "n", copies.count(), weighed=False), "members")
     exact = stored(_grouped(with_texts(members, docs), "comp", _exact_links, "sid binary, other binary, links long", ["sid", "copies", "text"]), "exact")
     linked = exact.groupBy("sid").agg(F.sum("links").alias("links"))
     classes = components(exact.where(F.col("sid") != F.col("other")).select(F.col("sid").alias("a"), F.col("other").alias("b")))
@@ -503,9 +501,9 @@ def near_duplicates(docs: DataFrame, target: float = TARGET) -> DataFrame:
     forget(distinct, members, exact, labels, classes, copies)
     named = info.groupBy("comp").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("k"))
     total = info.count()
-    whole = keyed_join(info.select("sid", "copies", "comp", "n_links"), named, "comp", "k", total).drop("k")
+    whole = keyed_join(info.select("sid", "copies", "comp", "n_links"), named, "comp", "k", total, weighed=False)
     rows = sets.select("doc_id", "text_hash", "sid")
-    return keyed_join(rows, whole, "sid", "copies", total).select("doc_id", "class_id", "class_size", "n_links", "comp", "text_hash")
+    return keyed_join(rows, whole, "sid", "copies", total, weighed=False).select("doc_id", "class_id", "class_size", "n_links", "comp", "text_hash")
 
 
 def one_of_each(classes: DataFrame) -> DataFrame:
@@ -515,4 +513,4 @@ def one_of_each(classes: DataFrame) -> DataFrame:
     """
     ids = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = stored(classes.groupBy("comp").agg(F.min(ids).alias("first"), F.count(F.lit(1)).alias("k")), "first")
-    return keyed_join(classes, first, "comp", "k", classes.count()).withColumn("stays", ids == F.col("first")).drop("first", "k")
+    return keyed_join(classes, first, "comp", "k", classes.count(), weighed=False).withColumn("stays", ids == F.col("first")).drop("first")

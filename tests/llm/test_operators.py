@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quorumlake.llm import decontamination, fingerprints, jaccard_join, language_id, line_dedup, packing, secrets, substring_dedup, toxicity, url_filter
+from quorumlake.llm import common, decontamination, fingerprints, jaccard_join, language_id, line_dedup, packing, secrets, substring_dedup, toxicity, url_filter
 from quorumlake.llm.queries import QUERIES
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -821,3 +821,19 @@ def test_fingerprint_neighbours_over_many_buckets(monkeypatch, spark):
     frame = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
     got = {r.doc_id: r.next_text for r in fingerprints.with_next(frame).where("NOT copy").collect()}
     assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
+@pytest.mark.parametrize("weighed", [True, False])
+def test_keyed_join_broadcasts_heavy_keys_once(spark, weighed):
+    """Rows of heavy, light and null keys meet as in a plain join, and both parts read one broadcast."""
+    left = common.stored(spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN NULL ELSE id DIV 2 END AS k", "id AS v"), "left")
+    right = common.stored(left.groupBy("k").agg(F.count("v").alias("n"), F.max("v").alias("most")), "right")
+    own = {} if weighed else {"weighed": False}
+    out = common.keyed_join(left, right, "k", "n", 20_000, **own)
+    want = left.join(right, "k").select(out.columns)
+    assert out.columns == ["k", "v", *["n"] * weighed, "most"]
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("BroadcastExchange") == 2 and plan.split("Initial Plan")[0].count("ReusedExchange") == 1
+    both = common.keyed_join(left.join(right.select("k", "n"), "k"), right, "k", "n", 20_000)  # left has the weights
+    assert sorted(map(tuple, both.select("k", "v", "n", "most").collect())) == sorted(map(tuple, left.join(right, "k").select("k", "v", "n", "most").collect()))
