@@ -15,7 +15,8 @@ further left) covers it.
    Burrows-Wheeler transform in a wavelet matrix with counted 64-bit blocks, and every
    ``SAMPLE``-th text position. The words and the suffix array go. The contents are then streamed through
    it: matching statistics (for each place the longest match, up to ``WINDOW``, which occurs besides
-   the place itself) by backward search. Where they reach ``WINDOW``, the
+   the place itself) by backward search. A window with a word that the index counts only once can't reach
+   ``WINDOW`` and isn't begun. Where they reach it, the
    interval's positions are walked out by the last-to-first mapping, and the least tells if an
    earlier occurrence exists. Runs of such windows are reported.
 4. The exact way for the rest: anchors with over ``HOT`` different contents (a passage's edges, beside
@@ -34,6 +35,7 @@ whole; an empty table gives no rows; extra columns are ignored, whatever their n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quorumlake.llm.common import HEAVY, forget, keyed_join, sized_slices, slices, slots, stored, unrepeated
+from quorumlake.llm.common import BLANKS, HEAVY, forget, keyed_join, sized_slices, slices, slots, stored, unrepeated
 
 WINDOW = 20
 GRAM = 4
@@ -64,16 +66,52 @@ _BASE = _RNG.integers(1, 1 << 63, dtype=np.uint64) | np.uint64(1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words as UTF-8: a byte string splits at exactly the contract's blanks."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+#: For each byte whether it is part of a word; the lowest bytes of a 64-bit number; words of more bytes are hashed one by one.
+_SOLID = bytes(chr(c) not in BLANKS for c in range(256))
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 64
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def words_of(text: bytes | None) -> list[bytes]:
+    """The words of a text in UTF-8: a byte string splits at exactly the contract's blanks."""
+    return (text or b"").split()
 
 
-def segments(w: np.ndarray, lengths: list[int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, one after the other, and each text's number of words.
+
+    No word becomes an object: the bytes are cut at blanks all at once, and words taken up by eight bytes at a time.
+    """
+    ends = np.cumsum(np.array([0, *(len(t) + 1 for t in texts)]))
+    data = b" ".join([b"", *texts, b" " * int(16 + (-1 - ends[-1]) % 8)])  # whole eights, and one past the last word's
+    solid = np.frombuffer(data.translate(_SOLID), np.uint8)
+    edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    eights = np.frombuffer(data, "<u8")
+
+    def taken(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        k, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        both = (eights[k] >> shift) | ((eights[k + 1] << np.uint64(1)) << (shift ^ np.uint64(63)))
+        return both & _LOWEST[np.minimum(left, 8)]
+
+    h = _mixed(taken(start, size) + size.astype(np.uint64) * _BASE)
+    live, done = np.flatnonzero(size > 8), 8
+    while len(live) and done < LONG:
+        h[live] = _mixed(h[live] * _BASE ^ taken(start[live] + done, size[live] - done))
+        done += 8
+        live = live[size[live] > done]
+    for i in live.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]])
+    return h, np.diff(np.searchsorted(start, ends))
+
+
+def segments(w: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window's start, number of windows) of each run of windows with one anchor in one place.
 
     w: the word hashes of documents of these lengths, one after the other; starts count from the first one's.
@@ -118,14 +156,15 @@ class WaveletMatrix:
     def __init__(self, values: np.ndarray, top: int):
         self.n, self.bits = len(values), max(1, int(top).bit_length())
         self.blocks, self.before, self.zeros = [], [], []
-        v = values.astype(np.int64)
+        v = values.astype(np.int32 if self.bits < 32 else np.int64)
         for b in range(self.bits - 1, -1, -1):
-            bit = (v >> b) & 1
+            bit = v & (1 << b) != 0
             block, before = bit_plane(bit)
             self.blocks.append(block)
             self.before.append(before)
-            self.zeros.append(int(self.n - bit.sum()))
-            v = np.concatenate([v[bit == 0], v[bit == 1]])
+            rest = v[~bit]
+            self.zeros.append(len(rest))
+            v = np.concatenate([rest, v[bit]])
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each place, past the symbol's own start in the last plane."""
@@ -161,20 +200,27 @@ def ones_before(block: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.nda
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Places in order of the suffixes that start there, by prefix doubling."""
-    rank = np.unique(t, return_inverse=True)[1].reshape(-1).astype(np.int64)
-    n, k = len(t), 1
+    """Places in order of the suffixes that start there, by prefix doubling from as many symbols as fit a number; only ties are sorted again."""
+    n, bits = len(t), (int(t.max()) + 1).bit_length()
+    k = max(1, min(62 // bits, n))
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key <<= bits
+        key[: n - j] += t[j:] + 1
+    order, rank = np.empty(n, np.int64), np.empty(n, np.int64)
+    who = at = np.arange(n)  # suffixes to be sorted, and the places that they share out
     while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        if fresh[-1] == n - 1 or k >= n:
+        by = np.argsort(key)
+        who, key = who[by], key[by]
+        order[at] = who
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(first, len(at)))
+        rank[who] = np.repeat(at[first], sizes)
+        at = at[np.repeat(sizes > 1, sizes)]
+        if not len(at) or k >= n:
             return order
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
+        who = order[at]
+        key = rank[who] * (n + 1) + np.where(who + k < n, rank[np.minimum(who + k, n - 1)] + 1, 0)
         k *= 2
 
 
@@ -198,13 +244,20 @@ class FMIndex:
         return both[: len(c)] + shift, both[len(c) :] + shift
 
     def matching(self, stream: np.ndarray, ends: np.ndarray, cap: int, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each end in the stream how many of the words before it, at most cap, occur in the text ``least`` times or more, and their suffix interval."""
+        """For each end in the stream how many of the words before it, at most cap, occur in the text ``least`` times or more, and their suffix interval.
+
+        Ends with the same words so far share an interval, so a step extends each interval by each word before it once.
+        """
         length, live = np.zeros(len(ends), np.int64), np.arange(len(ends))
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
         for step in range(1, cap + 1):
             live = live[ends[live] >= step]
             c = stream[ends[live] - step]
-            a, b = (self.first[c], self.first[c + 1]) if step == 1 else self.extend(c, low[live], high[live])
+            if step == 1:
+                a, b = self.first[c], self.first[c + 1]
+            else:  # intervals of one length that start alike are one
+                _, some, back = np.unique(low[live] * len(self.first) + c, return_index=True, return_inverse=True)
+                a, b = (x[back] for x in self.extend(c[some], low[live[some]], high[live[some]]))
             more = b - a >= least
             live = live[more]
             if not len(live):
@@ -238,10 +291,10 @@ class FMIndex:
         return np.minimum.reduceat(self.positions(ranks), begin)[back.reshape(-1)]
 
 
-def repeated_windows(rows: list[tuple[np.ndarray, int]], window: int = WINDOW) -> list[np.ndarray]:
-    """For different segments in order (words, number of windows): which of their windows occur earlier among them."""
-    coded = np.unique(np.concatenate([w for w, _ in rows]), return_inverse=True)[1].reshape(-1) + 2
-    lengths = np.array([len(w) for w, _ in rows])
+def repeated_windows(rows: list[tuple[bytes, int]], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For different segments in order (word hashes, number of windows): runs of windows that occur earlier among them (segment, first window, number)."""
+    coded = np.unique(np.frombuffer(b"".join([w for w, _ in rows]), np.uint64), return_inverse=True)[1].reshape(-1) + 2
+    lengths = np.array([len(w) // 8 for w, _ in rows])
     counts = np.array([n for _, n in rows])
     starts = np.cumsum(lengths + 1) - lengths - 1
     text = np.ones(int((lengths + 1).sum()) + 1, np.int64)
@@ -249,17 +302,23 @@ def repeated_windows(rows: list[tuple[np.ndarray, int]], window: int = WINDOW) -
     text[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(coded))] = coded
     index = FMIndex(text)
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    length, low, high = index.matching(text, at + window, window, 2)
-    some = np.flatnonzero(length == window)
-    earlier = np.zeros(len(at), bool)
-    earlier[some] = index.earliest(low[some], high[some]) < at[some]
-    return np.split(earlier, np.cumsum(counts)[:-1])
-
-
-def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, list[int]]:
+    single = np.concatenate([[0], np.cumsum(np.diff(index.first)[text] < 2)])
+    some = np.flatnonzero(single[at + window] == single[at])
+    length, low, high = index.matching(text, at[some] + window, window, 2)
+    whole = length == window
+    some, earlier = some[whole], np.zeros(len(at), bool)
+    earlier[some] = index.earliest(low[whole], high[whole]) < at[some]
+    begins, of = np.cumsum(counts) - counts, np.repeat(np.arange(len(rows)), counts)
+    edge = np.zeros(len(at) + 1, bool)
+    edge[begins] = edge[-1] = True
+    first = np.flatnonzero(earlier & (edge[:-1] | ~np.roll(earlier, 1)))
+    last = np.flatnonzero(earlier & (edge[1:] | ~np.roll(earlier, -1)))
+    return of[first], first - begins[of[first]], last - first + 1
+
+
+def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The words of a batch's texts as hashes, and each text's number of words."""
-    found = [words_of(t) for t in batch.column("text").to_pylist()]
-    return word_hashes([w for words in found for w in words]), [len(words) for words in found]
+    return word_hashes([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
 
 
 def heavy_anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -337,21 +396,34 @@ def _with_words(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
     met = rows.hint("merge").join(want, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row") == F.col("w_row"))).select("doc_id", "row", "text", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(unrepeated(batches, ["doc_id", "row"]), 64):
-            out: list[tuple] = []
-            for doc, row, text, spots in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "spots")), strict=True):
-                w = word_hashes(words_of(text)).tobytes()
-                for s in spots:
-                    a, n = s["start"], s["n"]
-                    if s["hot"]:
-                        for i in range(a, a + n):
-                            h = xxhash.xxh3_128_intdigest(w[8 * i : 8 * (i + window)])
-                            out.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), doc, row, i, 1, None))
-                    else:
-                        out.append((s["anchor"], 0, doc, row, a, n, w[8 * a : 8 * (a + n + window - 1)]))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["route", "other", "doc_id", "row", "start", "n", "words"])
+        for batch in sized_slices(unrepeated(batches, ["doc_id", "row"]), "text"):
+            w, lengths = _hashed(batch)
+            spots = batch.column("spots")
+            of = np.repeat(np.arange(batch.num_rows), spots.value_lengths().to_numpy())
+            anchor, start, n, hot = (spots.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "start", "n", "hot"))
+            at = (np.cumsum(lengths) - lengths)[of] + start
+            for cool in pieces(np.flatnonzero(~hot)):
+                sizes = n[cool].astype(np.int64) + window - 1
+                edges = np.cumsum(np.append(0, sizes))
+                held = w[np.repeat(at[cool] - edges[:-1], sizes) + np.arange(edges[-1])]
+                words = pa.Array.from_buffers(pa.binary(), len(cool), [None, pa.py_buffer((8 * edges).astype(np.int32)), pa.py_buffer(held)])
+                yield rows_of(batch, of[cool], anchor[cool], np.zeros(len(cool), np.int64), start[cool], n[cool], words)
+            raw = w.tobytes()
+            for some in pieces(np.flatnonzero(hot)):
+                each = np.repeat(some, n[some])  # a row for each window
+                i = np.arange(len(each)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+                h = [xxhash.xxh3_128_digest(raw[8 * a : 8 * (a + window)]) for a in (at[each] + i).tolist()]
+                route, other = np.frombuffer(b"".join(h), ">i8").astype(np.int64).reshape(-1, 2).T
+                yield rows_of(batch, of[each], route, other, start[each] + i, np.ones(len(each)), pa.nulls(len(each), pa.binary()))
+
+    def pieces(which: np.ndarray) -> Iterator[np.ndarray]:
+        for lo in range(0, len(which), 1 << 16):
+            yield which[lo : lo + (1 << 16)]
+
+    def rows_of(batch: pa.RecordBatch, of: np.ndarray, route: np.ndarray, other: np.ndarray, start: np.ndarray, n: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+        owner = pa.array(of)
+        cols = [pa.array(route), pa.array(other), batch.column("doc_id").take(owner), batch.column("row").take(owner), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), words]
+        return pa.RecordBatch.from_arrays(cols, ["route", "other", "doc_id", "row", "start", "n", "words"])
 
     return met.mapInArrow(run, "route long, other long, doc_id long, row long, start int, n int, words binary")
 
@@ -366,12 +438,8 @@ def _search_shards(rows: DataFrame, shards: int, window: int) -> DataFrame:
         at, held = None, []
 
         def answer() -> pa.RecordBatch:
-            flags = repeated_windows([(np.frombuffer(h[4], np.uint64), h[3]) for h in held], window) if held else []
-            out = []
-            for (doc, row, start, _, _), f in zip(held, flags, strict=True):
-                if f.any():
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], f.astype(np.int8), [0]])))
-                    out += [(doc, row, start + int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            runs = repeated_windows([(h[4], h[3]) for h in held], window) if held else []
+            out = [(*held[k][:2], held[k][2] + a, n) for k, a, n in zip(*(x.tolist() for x in runs), strict=True)]
             cols = list(zip(*out, strict=True)) or [[]] * 4
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "row", "start", "n"])
@@ -423,17 +491,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, total, gone = [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, found in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = words_of(text)
-                edge = np.zeros(len(words) + 1, np.int64)
-                for s in found or []:
-                    edge[s["start"]] += 1
-                    edge[s["start"] + s["n"] + window - 1] -= 1
-                out = np.cumsum(edge)[:-1] > 0
-                kept = [w for w, o in zip(words, out.tolist(), strict=True) if not o] if found else words
-                texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
+                kept = words
+                if found:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    for s in found:
+                        edge[s["start"]] += 1
+                        edge[s["start"] + s["n"] + window - 1] -= 1
+                    kept = list(compress(words, (np.cumsum(edge)[:-1] == 0).tolist()))
+                texts.append(b" ".join(kept))
                 total.append(len(words))
-                gone.append(int(out.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
+                gone.append(len(words) - len(kept))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
 
     return met.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")

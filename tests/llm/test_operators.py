@@ -495,6 +495,50 @@ def test_matching_statistics():
     assert [int(x) for x in length] == [max((n for n in range(1, min(9, e) + 1) if tuple(stream[e - n : e]) in held), default=0) for e in range(1, 301)]
 
 
+def test_equal_windows_are_searched_once(monkeypatch):
+    text = np.append(np.tile(np.random.default_rng(2).permutation(60) + 1, 50), 0)
+    index, asked, extend = substring_dedup.FMIndex(text), [], substring_dedup.FMIndex.extend
+    monkeypatch.setattr(substring_dedup.FMIndex, "extend", lambda self, c, low, high: asked.append(len(c)) or extend(self, c, low, high))
+    length, low, high = index.matching(text, np.arange(20, 3_001), 20, 2)
+    assert (length == 20).all() and set((high - low).tolist()) == {49, 50}
+    assert sum(asked) <= 19 * 60
+
+
+def test_windows_with_a_single_word_are_not_searched(monkeypatch):
+    asked, matching = [], substring_dedup.FMIndex.matching
+    monkeypatch.setattr(substring_dedup.FMIndex, "matching", lambda self, text, ends, *more: asked.append(len(ends)) or matching(self, text, ends, *more))
+    rng = np.random.default_rng(3)
+    body, other = rng.permutation(30).astype(np.uint64), rng.permutation(30).astype(np.uint64)
+    segments = [np.append(body, np.uint64(100)), np.concatenate([other, body, np.arange(200, 240, dtype=np.uint64)]), np.append(body[3:], other[:9])]
+    seen, want = set(), []
+    for k, w in enumerate(segments):
+        for i in range(len(w) - 19):
+            want += [(k, i)] if tuple(w[i : i + 20]) in seen else []
+            seen.add(tuple(w[i : i + 20]))
+    of, first, n = substring_dedup.repeated_windows([(w.tobytes(), len(w) - 19) for w in segments])
+    assert [(k, a + j) for k, a, m in zip(of, first, n, strict=True) for j in range(m)] == want and len(want) == 19
+    assert asked == [11 + 41 + 17]  # of 12, 81 and 17
+
+
+def test_suffixes_are_in_order():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(1, k, n) for k in (2, 3, 50, 1 << 40) for n in (1, 2, 7, 300)] + [np.tile([3, 1, 2], 50)]
+    for text in (np.append(t, 0) for t in texts):
+        assert substring_dedup.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+
+
+def test_word_hashes_part_words_as_split_does():
+    rng = random.Random(6)
+    texts = [b"", b" \t\n\x0b\x0c\r", b"a\0 a \0a \0\0 \0", "\u00a0x \u0085 \x1c\x1f \u2028é".encode()]
+    texts += [b" ".join(bytes(rng.choice(b"ab\0") for _ in range(rng.choice((1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 72, 200)))) for _ in range(300)) for _ in range(5)]
+    texts += [b"x" * n + b"y " + b"x" * n + b"y" for n in range(80)]
+    h, n = substring_dedup.word_hashes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert n.tolist() == [len(t.split()) for t in texts] and len(h) == len(words)
+    assert len(set(words)) == len(set(h.tolist())) == len(set(zip(words, h.tolist(), strict=True)))
+    assert [len(x) for x in substring_dedup.word_hashes([])] == [0, 0]
+
+
 # 6
 
 
